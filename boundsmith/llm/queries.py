@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boundsmith.llm.common import table
 from boundsmith.llm.decontam import contamination
 from boundsmith.llm.exact import exact_groups
+from boundsmith.llm.packing import pack
+from boundsmith.llm.tokenbin import read_records, write_records
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +26,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op6_exact_dedup": op6_exact_dedup}
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = write_records(table(spark, sf_dir, "documents"), tokenizer_path())
+    return read_records(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_records": op7_token_records,
+    "op8_packing": op8_packing,
+}
 
 OP6_SQL = r"""
 WITH d AS (
