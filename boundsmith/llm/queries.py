@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boundsmith.llm.common import table
 from boundsmith.llm.decontam import contamination
 from boundsmith.llm.exact import exact_groups
+from boundsmith.llm.minhash import near_groups
 from boundsmith.llm.packing import pack
 from boundsmith.llm.tokenbin import read_records, write_records
 
@@ -18,6 +19,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +42,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_records": op7_token_records,
@@ -82,4 +88,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op3_decontaminate": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 2 THEN w
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n, s FROM s),
+x AS (SELECT doc_id, n, unnest(s) AS g FROM n),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.to_id = e.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM n JOIN (SELECT doc_id, min(to_id) AS c FROM r GROUP BY doc_id) USING (doc_id)
+"""
+
+ORACLES = {"op1_near_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op6_exact_dedup": OP6_SQL}
