@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from boundsmith.llm.common import table
 from boundsmith.llm.decontam import contamination
 from boundsmith.llm.exact import exact_groups
+from boundsmith.llm.htmltext import main_text
 from boundsmith.llm.minhash import near_groups
 from boundsmith.llm.packing import pack
+from boundsmith.llm.quality import fit, scored
+from boundsmith.llm.tokencount import sentencepiece_vocabulary, token_counts
 from boundsmith.llm.tokenbin import read_records, write_records
+from boundsmith.llm.urlfilter import judged
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,10 +27,19 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,17 +49,32 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+def digest_of_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_of_pieces(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_records": op7_token_records,
     "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_html_text": op10_html_text,
 }
 
 OP6_SQL = r"""

@@ -1,29 +1,64 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before
+kept.  All but the last return the columns of ``documents``; the last returns a
+row for each piece of a packed sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boundsmith.llm.common import table
+from boundsmith.llm.common import table, written
 from boundsmith.llm.decontam import contamination
 from boundsmith.llm.exact import drop_exact_copies
+from boundsmith.llm.minhash import drop_near_copies
+from boundsmith.llm.packing import pack
+from boundsmith.llm.quality import accepted, fit
+from boundsmith.llm.queries import digest_of_pieces, tokenizer_path
+
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return accepted(docs, fit(docs, table(spark, sf_dir, "labels")))
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return drop_exact_copies(docs)
 
 
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    return drop_near_copies(docs, k=5, threshold=0.8)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
     return contamination(docs, table(spark, sf_dir, "benchmark"), keep=True)
 
 
-STAGES = [("exact dedup", exact), ("decontamination", clean)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return digest_of_pieces(pack(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("exact dedup", keep_distinct),
+    ("near dedup", keep_dissimilar),
+    ("decontamination", keep_uncontaminated),
+    ("packing", packed),
+]
 
+#: Classifier, near-duplicate groups and packing aren't SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs, _ = written(docs, f"stage-{k}")
     return docs
