@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boundsmith.llm.common import table
+from boundsmith.llm.common import table, written
 from boundsmith.llm.decontam import contamination
 from boundsmith.llm.exact import exact_groups
 from boundsmith.llm.htmltext import main_text
 from boundsmith.llm.minhash import near_groups
 from boundsmith.llm.packing import pack
+from boundsmith.llm.pii import KINDS, as_string, candidates, find_spans
+from boundsmith.llm.pii import fit as fit_pii
 from boundsmith.llm.quality import fit, scored
 from boundsmith.llm.tokencount import sentencepiece_vocabulary, token_counts
 from boundsmith.llm.tokenbin import read_records, write_records
@@ -35,6 +37,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described, _ = written(candidates(table(spark, sf_dir, "documents")), "pii-candidates")
+    found = find_spans(described, fit_pii(described))
+
+    def count(n: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
+
+    counts = [count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(as_string(F.col("base")), 256).alias("base_sha256"), as_string(F.col("spans")).alias("spans"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +82,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_records": op7_token_records,
