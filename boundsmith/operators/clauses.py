@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from boundsmith.functions import courses as C
 from boundsmith.functions.text import normalize
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("seg", "part")
+
+def _by_doc():
+    return Window.partitionBy("doc_id").orderBy("seg", "part")
 
 
 def _starts(pieces: Column, gap: int) -> Column:
@@ -47,13 +49,13 @@ def rejoin_fragments(clauses: DataFrame) -> DataFrame:
     )
 
     def after(c: str) -> Column:
-        return F.lead(c).over(BY_DOC)
+        return F.lead(c).over(_by_doc())
 
     rows = rows.withColumns({"__next": after("clause"), "__nb": after("__b"), "__nt": after("__t"), "__nf": after("__f"), "__ne": after("span_end")})
     wants = F.col("__b") & F.col("line").isNull() & ~F.col("__nt") & ~F.col("__nb") & F.col("__nf")
     rows = rows.withColumn("__joined", F.when(wants, F.concat_ws(" ", "clause", "__next")))
     rows = C.with_line(rows, "__joined", "__line").withColumn("__merged", F.col("__line").isNotNull())
-    rows = rows.withColumn("__eaten", F.coalesce(F.lag("__merged").over(BY_DOC), F.lit(False))).where(~F.col("__eaten"))
+    rows = rows.withColumn("__eaten", F.coalesce(F.lag("__merged").over(_by_doc()), F.lit(False))).where(~F.col("__eaten"))
     return rows.select(
         "doc_id", "before_pob", "seg", "part",
         F.when(F.col("__merged"), F.col("__joined")).otherwise(F.col("clause")).alias("clause"),
@@ -75,16 +77,17 @@ def classify(docs: DataFrame) -> DataFrame:
             "feet": F.col("clause").rlike(C.FEET),
         }
     )
-    flipped = F.coalesce(F.max(F.col("pob") & ~F.col("tie")).over(BY_DOC.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    flipped = F.coalesce(F.max(F.col("pob") & ~F.col("tie")).over(_by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     parsed = F.col("line").isNotNull() | F.col("curve").isNotNull()
     kind = (
         F.when(F.col("tie") & (F.col("line").isNotNull() | F.col("feet")), "REFERENCE_TIE").when(F.col("tie") | ~parsed, "NOTE")
         .when(F.col("before_pob") & ~flipped, "COMMENCEMENT").otherwise("BOUNDARY")
     )
-    return rows.select("doc_id", (F.row_number().over(BY_DOC) - 1).alias("pos"), "clause", "span_start", "span_end", kind.alias("kind"), "line", F.when(~F.col("tie"), F.col("curve")).alias("curve"), "rejoined")
+    return rows.select("doc_id", (F.row_number().over(_by_doc()) - 1).alias("pos"), "clause", "span_start", "span_end", kind.alias("kind"), "line", F.when(~F.col("tie"), F.col("curve")).alias("curve"), "rejoined")
 
 
-_ORDER = Window.partitionBy("doc_id").orderBy("pos")
+def _order():
+    return Window.partitionBy("doc_id").orderBy("pos")
 
 
 def boundary_calls(classified: DataFrame) -> DataFrame:
@@ -92,13 +95,13 @@ def boundary_calls(classified: DataFrame) -> DataFrame:
     rows = classified.where("kind = 'BOUNDARY'").withColumn("call_type", F.when(F.col("line").isNotNull(), "line").otherwise("curve"))
     per_type = Window.partitionBy("doc_id", "call_type").orderBy("pos")
     name = F.concat(F.when(F.col("call_type") == "line", "L").otherwise("C"), F.row_number().over(per_type))
-    return rows.select("doc_id", F.row_number().over(_ORDER).alias("seq"), name.alias("id"), "call_type", "clause", "span_start", "span_end", "line", "curve")
+    return rows.select("doc_id", F.row_number().over(_order()).alias("seq"), name.alias("id"), "call_type", "clause", "span_start", "span_end", "line", "curve")
 
 
 def ties(classified: DataFrame) -> DataFrame:
     rows = classified.where("kind in ('COMMENCEMENT', 'REFERENCE_TIE')")
     kind = F.when(F.col("kind") == "COMMENCEMENT", "commencement").otherwise("reference_tie")
-    return rows.select("doc_id", F.concat(F.lit("RT"), F.row_number().over(_ORDER)).alias("id"), kind.alias("kind"), F.col("clause").alias("raw_text"), "line", "curve", "span_start", "span_end")
+    return rows.select("doc_id", F.concat(F.lit("RT"), F.row_number().over(_order())).alias("id"), kind.alias("kind"), F.col("clause").alias("raw_text"), "line", "curve", "span_start", "span_end")
 
 
 def ignored(classified: DataFrame) -> DataFrame:
