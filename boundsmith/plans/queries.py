@@ -132,13 +132,12 @@ _CLAUSE = "'THENCE ' || ns || ' ' || deg || '°' || mi || '''' || CAST(sec AS IN
 
 
 @query(
-    _C + f", k AS (SELECT doc_id, seq, {_CLAUSE} AS clause FROM c WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0), "
+    _C + f", k AS (SELECT doc_id, seq, {_CLAUSE} AS clause FROM c), "
     "z AS (SELECT *, coalesce(sum(length(clause) + 2) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM k) "
     "SELECT doc_id, CAST(seq - 1 AS INT) AS pos, clause, CAST(a AS INT) AS span_start, CAST(a + length(clause) AS INT) AS span_end FROM z"
 )
 def clauses_spans(spark, sf_dir):
-    docs = synth.deeds(spark, sf_dir).where("doc_id % 5 = 0 and doc_id % 7 <> 0 and doc_id % 11 <> 0 and doc_id % 13 <> 0 and doc_id % 17 <> 0 and doc_id % 19 <> 0")
-    return K.split_clauses(docs).select("doc_id", F.col("seg").alias("pos"), "clause", "span_start", "span_end")
+    return K.split_clauses(synth.plain_deeds(spark, sf_dir)).select("doc_id", F.col("seg").alias("pos"), "clause", "span_start", "span_end")
 
 
 @query(_C + "SELECT doc_id, CAST(seq AS INT) AS seq, ns, deg, mi AS minute, sec, ew, dist FROM c")

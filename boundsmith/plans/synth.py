@@ -67,6 +67,15 @@ def deeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _deed(courses(spark, sf_dir), _course_text(), before, after)
 
 
+def _line_text() -> Column:
+    return F.format_string("THENCE %s %d°%d'%d\" %s %.2f FEET", "ns", F.col("deg"), F.col("minute"), F.col("sec").cast("int"), "ew", "dist")
+
+
+def plain_deeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every course in the plainest style."""
+    return _deed(courses(spark, sf_dir), _line_text(), F.lit(""), F.lit("."))
+
+
 def split_deeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distance stands behind a stray semicolon."""
     text = F.format_string("THENCE %s %d°%d'%d\" %s ALONG SAID LINE; %.2f FEET", "ns", F.col("deg"), F.col("minute"), F.col("sec").cast("int"), "ew", "dist")
@@ -83,13 +92,13 @@ def curve_deeds(spark: SparkSession, sf_dir: str, concave: bool = False) -> Data
         F.lit("THENCE ALONG A TANGENT CURVE"), how,
         F.format_string(", RADIUS OF %.2f FEET, A CENTRAL ANGLE OF %d°%d'%d\"", F.col("dist") + 10, 10 + p % 80, F.col("minute"), F.col("sec").cast("int")),
     )
-    line = F.format_string("THENCE %s %d°%d'%d\" %s %.2f FEET", "ns", F.col("deg"), F.col("minute"), F.col("sec").cast("int"), "ew", "dist")
+    line = _line_text()
     return _deed(courses(spark, sf_dir), F.when(F.col("l_linenumber") % 3 == 0, curve).otherwise(line), F.lit(""), F.lit("."))
 
 
 def bracket_deeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The courses, with one direction-only call after the first of them."""
-    text = F.format_string("THENCE %s %d°%d'%d\" %s %.2f FEET", "ns", F.col("deg"), F.col("minute"), F.col("sec").cast("int"), "ew", "dist")
+    text = _line_text()
     rows = courses(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.struct(*_KEY, text.alias("t")).alias("c")).groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
     texts = F.transform("c", lambda c: c["t"])
     open_call = F.array(F.lit("THENCE WESTERLY TO A POINT IN SAID LINE"))
