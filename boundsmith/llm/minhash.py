@@ -9,11 +9,13 @@ The exponentials come from one point process for each element, whose points fall
 on registers at random, so an element of a large set costs about one step.
 
 Steps: documents with equal sets become one class; bands of registers make
-buckets; inside a bucket every class meets the bucket's smallest class; a joint
-likelihood over the registers discards hopeless pairs; the rest is decided on
-the full sets.  Classes that these links don't connect but that share a bucket
-are then compared pair by pair, so a bucket needs no cap and no pair of classes
-in it that could matter is left out.  With 30 bands of 5 a pair at similarity
+buckets; in a few rounds every class of a bucket meets the bucket's centre, first
+one, then others where a bucket isn't in one component yet; a joint likelihood
+over the registers discards hopeless pairs; the rest is decided on the full sets.
+A large group of near copies so becomes one component from a few pairs for each
+member.  Classes that no centre connected though they share a bucket then meet by
+the prefix filter of exact similarity joins: two sets that are similar have a common
+shingle among their rarest ones.  So a bucket needs no cap and no link in it is lost.  With 30 bands of 5 a pair at similarity
 0.8 shares no bucket with probability below 1e-5.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing;
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from boundsmith.llm.common import discard, written
 
 BANDS, ROWS = 30, 5
+#: Random orders of a bucket's members in each round of centres.
+CENTRES = (1, 3)
 BASE, RATE, LEVELS = 1.02, 20.0, 2047
 #: A pair is discarded if its registers are e**-DOUBT times as likely at the threshold as at their best.
 DOUBT = 16.0
@@ -187,7 +191,27 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("nid", "regs").mapInArrow(run, "key long, nid long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+def _texts(docs: DataFrame, classes: DataFrame, nids: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``nid, t`` of the named classes, written once.
+
+    Rows may share an id: a row whose set is the class's set stands for the class.
+    """
+    wanted = classes.select("nid", "rid", "digest").join(nids, "nid", "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("rid"), text.cast("binary").alias("t"))
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                hashlib.blake2b(shingle_hashes(t, k).tobytes(), digest_size=16).digest() == d
+                for t, d in zip(batch.column("t").to_pylist(), batch.column("digest").to_pylist(), strict=True)
+            ]
+            yield batch.select(["nid", "t"]).filter(pa.array(keep, pa.bool_()))
+
+    return written(source.join(wanted, "rid").mapInArrow(checked, "nid long, t binary").groupBy("nid").agg(F.min("t").alias("t")), "near-texts")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, list[str]]:
     """Those of ``pairs (a, b)`` that are similar, and written stages to discard."""
     per_cent = round(100 * threshold)
     c = classes.select("nid", "n", "regs")
@@ -208,22 +232,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
 
     hopeful, p_hopeful = written(known.mapInArrow(likely, "a long, b long"), "near-pairs")
     needed = hopeful.select(F.col("a").alias("nid")).union(hopeful.select("b")).distinct()
-    wanted = classes.select("nid", "rid", "digest").join(needed, "nid", "left_semi")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("rid"), text.cast("binary").alias("t"))
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                hashlib.blake2b(shingle_hashes(t, k).tobytes(), digest_size=16).digest() == d
-                for t, d in zip(batch.column("t").to_pylist(), batch.column("digest").to_pylist(), strict=True)
-            ]
-            yield batch.select(["nid", "t"]).filter(pa.array(keep, pa.bool_()))
-
-    # Rows may share an id: the row whose set is the class's set stands for it.
-    texts, p_texts = written(source.join(wanted, "rid").mapInArrow(checked, "nid long, t binary"), "near-texts")
-    texts = texts.groupBy("nid").agg(F.min("t").alias("t"))
-    both = hopeful.join(texts.toDF("b", "t_b"), "b").join(texts.toDF("a", "t_a"), "a").select("a", "b", "t_a", "t_b")
+    own = texts.join(needed, "nid", "left_semi")
+    both = hopeful.join(own.toDF("b", "t_b"), "b").join(own.toDF("a", "t_a"), "a").select("a", "b", "t_a", "t_b")
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
@@ -236,10 +246,44 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links, p_links = written(both.mapInArrow(decided, "a long, b long"), "near-links")
-    discard(docs.sparkSession, p_texts)
     return links, [p_hopeful, p_links]
 
 
+def _prefix_pairs(left: DataFrame, texts: DataFrame, classes: DataFrame, k: int, per_cent: int) -> tuple[DataFrame, list[str]]:
+    """``a, b`` of all classes of different roots in ``left`` that can be similar, by prefixes.
+
+    ``left`` holds ``nid, root``.  Shingles are put in one order, the rarest first.  If
+    two sets are similar, the first shingle they have in common stands so early in both
+    that what follows still suffices; no other pair is made.  Of each shingle the most
+    frequent root needs no pairs in itself, so its members only meet the others.
+    """
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = shingle_hashes(t, k)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(np.full(len(hashes), nid))], names=["hash", "nid"])
+
+    every = texts.join(left.select("nid"), "nid", "left_semi").mapInArrow(exploded, "hash long, nid long")
+    counted, p_counted = written(every.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-counts")
+    ranked = every.join(counted, "hash").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("s"))
+    ranked = ranked.join(left, "nid").join(classes.select("nid", "n"), "nid")
+    # A class's own shingles come first and meet nothing.
+    alone = (F.col("n") - F.size("s")).cast("int")
+    early = (F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1).cast("int") - alone
+    ranked = ranked.where(early > 0).select("nid", "root", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), early)).alias("i", "h"))
+    prefix, p_prefix = written(ranked.select(F.col("h.hash").alias("hash"), "nid", "root", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest")), "near-prefixes")
+    major, p_major = written(prefix.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("hash").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1"), "near-majors")
+    meeting = prefix.join(major.select("hash", "major"), "hash")
+    minor = meeting.where("root <> major").select("hash", F.col("nid").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"))
+    other = meeting.select("hash", F.col("nid").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("rest").alias("rest_y"))
+    minor, p_minor = written(minor, "near-minor")
+    other, p_other = written(other, "near-other")
+    enough = F.least("rest_x", "rest_y") * (100 + per_cent) >= (F.col("n_x") + F.col("n_y")) * per_cent
+    met = minor.join(other, "hash").where((F.col("root_x") != F.col("root_y")) & enough)
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), [p_counted, p_prefix, p_major, p_minor, p_other]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``nid, root`` for every end of ``links (a, b)``; equal roots are connected.
 
@@ -271,6 +315,15 @@ def components(links: DataFrame) -> DataFrame:
             return mapping
 
 
+def _unsettled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``key, nid, root`` of the buckets whose members lie in several components."""
+    if roots is None:
+        return members.select("key", "nid", F.col("nid").alias("root"))
+    placed = members.join(roots, "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
 def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``id_col, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
@@ -281,23 +334,36 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     classes, p_classes = written(equal.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
 
     keyed = _bands(classes)
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("nid").alias("first")).where("size > 1")
-    members, p_members = written(keyed.join(shared.select("key", "first"), "key"), "near-buckets")
-
-    pairs, p_pairs = written(members.where("nid <> first").select(F.col("first").alias("a"), F.col("nid").alias("b")).distinct(), "near-tried")
-    links, p_links = _verified(pairs, classes, docs, k, threshold, id_col, text_col)
-    roots = components(links)
-
-    # What the first classes didn't connect: pairs of one bucket and two components.
-    placed = members.join(roots, "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left, p_left = written(placed.join(mixed, "key", "left_semi"), "near-left")
-    other = left.toDF("key", "b", "root_b")
-    rest = left.toDF("key", "a", "root_a").join(other, "key").where("a < b and root_a <> root_b").select("a", "b").distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more, p_more = _verified(rest, classes, docs, k, threshold, id_col, text_col)
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members, p_members = written(keyed.join(shared.select("key"), "key"), "near-buckets")
+
+    texts, p_texts = _texts(docs, classes, members.select("nid").distinct(), k, id_col, text_col)
+
+    tried = links = roots = None
+    old: list[str] = [p_members, p_texts]
+    for number, choices in enumerate(CENTRES):
+        # Of each bucket that isn't in one component yet, the member that comes first
+        # in one of a few random orders meets the members of other components.
+        left, p_left = written(_unsettled(members, roots), "near-left")
+        order = F.xxhash64(F.col("nid"), F.lit(number), F.pmod("key", F.lit(choices)))
+        centres, p_centres = written(left.groupBy("key").agg(F.min_by(F.struct("nid", "root"), order).alias("c")), "near-centres")
+        met = left.join(centres, "key").where(F.col("root") != F.col("c.root"))
+        pairs = met.select(F.greatest("nid", "c.nid").alias("a"), F.least("nid", "c.nid").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs, p_pairs = written(pairs, "near-tried")
+        tried = pairs if tried is None else tried.union(pairs)
+        more, p_more = _verified(pairs, classes, texts, k, threshold)
+        links = more if links is None else links.union(more)
+        roots = components(links)
+        old += [p_left, p_centres, p_pairs, *p_more]
+
+    # What the centres didn't connect: all pairs of components that can be similar.
+    left, p_left = written(_unsettled(members, roots).select("nid", "root").distinct(), "near-left")
+    rest, p_rest = _prefix_pairs(left, texts, classes, k, round(100 * threshold))
+    more, p_more = _verified(rest.join(tried, ["a", "b"], "left_anti"), classes, texts, k, threshold)
     roots = components(links.union(more))
-    discard(spark, p_members, p_pairs, p_left, *p_links, *p_more)
+    discard(spark, *old, p_left, *p_rest, *p_more)
 
     named = classes.select("digest", "first_id", "nid").join(roots, "nid", "left").select("digest", "first_id", F.coalesce("root", "nid").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component"))
