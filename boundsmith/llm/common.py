@@ -50,6 +50,20 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+_CACHES: list[dict] = []
+
+
+def claim(cache: dict) -> None:
+    """Of the caches in a Python worker only the last claimed one keeps its entries.
+
+    Workers are reused from stage to stage, and so are modules and their caches.
+    """
+    if not _CACHES or _CACHES[-1] is not cache:
+        if _CACHES:
+            _CACHES.pop().clear()
+        _CACHES.append(cache)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

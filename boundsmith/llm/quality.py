@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boundsmith.llm.common import claim
+
 BITS = 18
 FOLDS = 5
 THRESHOLD = 0.3
@@ -70,6 +72,7 @@ def ngrams(text: str | None) -> list[np.ndarray]:
     tokens = text.split() if text else []
     if not tokens:
         return []
+    claim(_TOKENS)
     if len(_TOKENS) > 400_000:
         _TOKENS.clear()
     both = np.array(list(map(_TOKENS.__getitem__, tokens)), np.uint64)

@@ -12,16 +12,17 @@ to the library whole.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from boundsmith.llm.common import claim
+
 #: Control characters, other white space and joiners, or blanks that meet or stand at an end.
 _ODD = "[\x00-\x09\x0b-\x1f\x7f-\xa0\xad ᠎ -‏ -  -⁤　﻿]|[ \n][ \n]|^[ \n]|[ \n]\\z"
-_TAIL = re.compile(r"[.,!?|&$%#*;:]+\Z")
+_ENDS = ".,!?|&$%#*;:"
 #: Marks for what stood before a word; a word without mark follows a space.
 _LINE, _START = "\x00", "\x01"
 
@@ -39,7 +40,7 @@ class Encoder:
     the text that is split at once.
     """
 
-    def __init__(self, path: str, entries: int = 700_000, part_bytes: int = 4 << 20) -> None:
+    def __init__(self, path: str, entries: int = 500_000, part_bytes: int = 2 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,35 +53,39 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new words in the cache."""
-        cache, cut = self.cache, []
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; only words bare of end marks enter the cache."""
+        cache, out, later = self.cache, [], []
         fresh: dict[str, None] = {}
-        for word in words:
-            tail = _TAIL.search(word)
-            core = word[: tail.start()] if tail else word
-            if tail and core.lstrip("\x00\x01").isalpha():
-                cut.append((word, core, _START + tail[0]))
-                for part in cut[-1][1:]:
-                    if part not in cache:
-                        fresh[part] = None
-            else:
-                fresh[word] = None
-        cache.update(zip(fresh, self.whole([_source(w) for w in fresh]), strict=True))
-        for word, core, mark in cut:
-            cache[word] = cache[core] + cache[mark]
+        for place, word in enumerate(words):
+            ids = cache.get(word)
+            if ids is None:
+                core = word.rstrip(_ENDS)
+                if core is not word and core.lstrip("\x00\x01").isalpha() and len(core) < len(word):
+                    mark = _START + word[len(core) :]
+                    if core in cache and mark in cache:
+                        ids = cache[core] + cache[mark]
+                    else:
+                        later.append((place, core, mark))
+                        fresh[core] = fresh[mark] = None
+                else:
+                    later.append((place, word, None))
+                    fresh[word] = None
+            out.append(ids)
+        unknown = [w for w in fresh if w not in cache]
+        cache.update(zip(unknown, self.whole([_source(w) for w in unknown]), strict=True))
+        for place, core, mark in later:
+            out[place] = cache[core] if mark is None else cache[core] + cache[mark]
+        return out
 
     def _plain(self, texts: pa.Array) -> list[bytes]:
         marked = pc.binary_replace_slice(pc.replace_substring(texts, "\n", " " + _LINE), 0, 0, _START)
         lists = pc.split_pattern(marked, " ")
         words = lists.flatten().dictionary_encode()
-        known = words.dictionary.to_pylist()
-        cache = self.cache
-        if len(cache) > self.entries:
-            cache.clear()
-        if fresh := [w for w in known if w not in cache]:
-            self._learn(fresh)
-        ids = pa.array([cache[w] for w in known], pa.binary()).take(words.indices)
+        claim(self.cache)
+        if len(self.cache) > self.entries:
+            self.cache.clear()
+        ids = pa.array(self._ids(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
         places = np.frombuffer(ids.buffers()[1], "<i4")[: len(ids) + 1]
         ends = places[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
         data = memoryview(ids.buffers()[2]) if ids.buffers()[2] is not None else memoryview(b"")
