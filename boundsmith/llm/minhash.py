@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundsmith.llm.common import discard, written
+from boundsmith.llm.common import claim, discard, written
 
 BANDS, ROWS = 30, 5
 #: Random orders of a bucket's members in each round of centres.
@@ -89,7 +89,8 @@ def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    claim(_WORDS)
+    if len(_WORDS) > 400_000:
         _WORDS.clear()
     hashed = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
     size = min(k, len(words))
@@ -211,8 +212,8 @@ def _texts(docs: DataFrame, classes: DataFrame, nids: DataFrame, k: int, id_col:
     return written(source.join(wanted, "rid").mapInArrow(checked, "nid long, t binary").groupBy("nid").agg(F.min("t").alias("t")), "near-texts")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, list[str]]:
-    """Those of ``pairs (a, b)`` that are similar, and written stages to discard."""
+def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """``pairs (a, b)`` without those that sizes or registers rule out."""
     per_cent = round(100 * threshold)
     c = classes.select("nid", "n", "regs")
     known = (
@@ -230,7 +231,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, th
             keep = ~hopeless(r_a, r_b, n_a, n_b, threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    hopeful, p_hopeful = written(known.mapInArrow(likely, "a long, b long"), "near-pairs")
+    return known.mapInArrow(likely, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, list[str]]:
+    """Those of ``pairs (a, b)`` that are similar on their full sets, and written stages to discard."""
+    hopeful, p_hopeful = written(pairs, "near-pairs")
     needed = hopeful.select(F.col("a").alias("nid")).union(hopeful.select("b")).distinct()
     own = texts.join(needed, "nid", "left_semi")
     both = hopeful.join(own.toDF("b", "t_b"), "b").join(own.toDF("a", "t_a"), "a").select("a", "b", "t_a", "t_b")
@@ -353,15 +359,16 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, p_pairs = written(pairs, "near-tried")
         tried = pairs if tried is None else tried.union(pairs)
-        more, p_more = _verified(pairs, classes, texts, k, threshold)
+        more, p_more = _verified(_likely(pairs, classes, threshold), texts, k, threshold)
         links = more if links is None else links.union(more)
         roots = components(links)
         old += [p_left, p_centres, p_pairs, *p_more]
 
-    # What the centres didn't connect: all pairs of components that can be similar.
+    # What the centres didn't connect: all pairs of components that can be similar.  The
+    # prefixes already bound what they have in common, so registers aren't asked again.
     left, p_left = written(_unsettled(members, roots).select("nid", "root").distinct(), "near-left")
     rest, p_rest = _prefix_pairs(left, texts, classes, k, round(100 * threshold))
-    more, p_more = _verified(rest.join(tried, ["a", "b"], "left_anti"), classes, texts, k, threshold)
+    more, p_more = _verified(rest.join(tried, ["a", "b"], "left_anti"), texts, k, threshold)
     roots = components(links.union(more))
     discard(spark, *old, p_left, *p_rest, *p_more)
 
