@@ -356,6 +356,33 @@ def test_url_model_and_segmentation(spark):
     assert all(got[i] == "allow" for i in range(300)) and all(got[i] == "block" for i in range(300, 361))
 
 
+def test_url_model_keeps_rare_tokens(spark):
+    """More tokens than any fixed share of them lets count: scores equal those from all counts."""
+    word = lambda i: hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:9]
+    urls = [f"http://{word(i)}.{'com/de' if i % 2 else 'net/en'}/{word(-i)}/{word(i % 50)}" for i in range(1, 25_001)] + ["http://viagra-x.net/"]
+    got = {r.page_id: r for r in urlfilter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)).collect()}
+    split = [urlfilter.names_in(*brute_rule(u)[:2]) for u in urls]
+    counts = {}
+    for n in (n for hosts, paths in split for n in hosts + paths):
+        counts[n] = counts.get(n, 0) + 1
+    assert sum(counts.values()) > 100_000
+    top = max(counts.values())
+    s = urlfilter.Segmenter(counts | {w: max(counts.get(w, 0), top // 10, 1) for w in urlfilter.SEED_WORDS})
+    found = [[f"h:{w}" for n in hosts for w in s.words(n)] + [f"p:{w}" for n in paths for w in s.words(n)] for hosts, paths in split]
+    seen, rows = {}, [0, 0]
+    for u, ts in zip(urls, found, strict=True):
+        verdict = brute_rule(u)[3]
+        block = verdict == "block" if verdict else any(t[:2] == "h:" and t[2:] in urlfilter.SEED_WORDS for t in ts)
+        rows[block] += 1
+        for t in ts:
+            seen.setdefault(t, [0, 0])[block] += 1
+    sums = [sum(c[k] for c in seen.values()) + len(seen) for k in (0, 1)]
+    for i, ts in enumerate(found):
+        want = np.log(rows[1] / rows[0]) + sum(np.log((seen[t][1] + 1) / sums[1]) - np.log((seen[t][0] + 1) / sums[0]) for t in ts)
+        assert got[i].score == pytest.approx(want)
+    assert len(got) == len(urls) and "h:viagra" in found[-1]
+
+
 # Registered queries and the pipeline -------------------------------------------
 
 def test_queries_with_sql(spark):
