@@ -1,11 +1,13 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 Pass one scores every container of a page by the text of its blocks, outside
-links and boilerplate, and names the best one by its generalised path: tags with
-their classes, digits replaced.  Spark counts the votes of each host.  Pass two
+links and boilerplate, and climbs from the best one to the containers around it
+that hold more of the article: headings, paragraphs, sections, lists, tables.  It
+names what it reached by its generalised path: tags with their classes, digits
+replaced.  Spark counts the votes of each host.  Pass two
 takes the host's winning paths (all with at least ``share`` of its votes, so at
 most ``1 / share`` of them) and extracts the element on the winning path that
-scores best in the page; a page without such an element uses its own best one.
+scores best in the page, climbing likewise; a page without such an element uses its own best one.
 
 The text: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined in page order by one space.
@@ -51,6 +53,8 @@ _BLOCK = frozenset(
 _CONTAINER = frozenset("article blockquote body center div main section table tbody td tr ul ol".split())
 _DROP_TAGS = frozenset("aside audio button canvas dialog footer form head header menu nav object select video".split())
 _DROP_ROLES = frozenset("banner complementary contentinfo dialog navigation search alert form".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PARTS = _HEADINGS | frozenset("blockquote dd figure li p pre".split())
 _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary", "body", "html"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -65,13 +69,17 @@ _MAIN = frozenset("article body content entry main post story text".split())
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "kids", "drop", "score", "text", "linked")
+    __slots__ = ("tag", "name", "parent", "kids", "drop", "main", "score", "text", "linked", "all", "links", "box", "inside", "parts", "headed")
 
-    def __init__(self, tag: str, name: str, parent: Node | None, drop: bool) -> None:
-        self.tag, self.name, self.parent, self.drop = tag, name, parent, drop
+    def __init__(self, tag: str, name: str, parent: Node | None, drop: bool, main: bool = False) -> None:
+        self.tag, self.name, self.parent, self.drop, self.main = tag, name, parent, drop, main
         self.kids: list[Node | str] = []
         self.score = 0.0
-        self.text = self.linked = 0
+        self.text = self.linked = 0  # without the containers inside
+        self.all = self.links = 0
+        self.box: Node | None = None  # the container around it
+        self.inside: list[Node] = []  # a container's next containers
+        self.parts = self.headed = False
 
     def path(self) -> str:
         names, at = [], self
@@ -81,10 +89,10 @@ class Node:
         return ">".join(reversed(names))
 
 
-def _described(tag: str, attrs: str) -> tuple[str, bool]:
-    """Generalised name of an element, and whether it is boilerplate."""
+def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """Generalised name of an element, whether it is boilerplate, and whether it says that it is the article."""
     if not attrs.strip(" /\t\r\n"):
-        return tag, tag in _DROP_TAGS
+        return tag, tag in _DROP_TAGS, tag in ("article", "main")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split()})
     words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
@@ -97,7 +105,7 @@ def _described(tag: str, attrs: str) -> tuple[str, bool]:
         or (bool(words & _ALWAYS) and tag not in ("html", "body"))
         or (bool(words & _UNLESS_MAIN) and not words & _MAIN and tag not in ("html", "body", "article", "main"))
     )
-    return ".".join([tag, *classes]), drop
+    return ".".join([tag, *classes]), drop, tag in ("article", "main") or (bool(words & _MAIN) and tag not in ("html", "body"))
 
 
 def parse(html: str) -> Node:
@@ -131,8 +139,8 @@ def parse(html: str) -> Node:
             close("p", {"article", "section", "div", "td", "th", "li", "blockquote", "body", "button"} - {tag} if tag != "p" else {"td", "th", "li", "button"})
         for same in _SAME.get(tag, ()):
             close(same, _SCOPE[tag])
-        name, drop = _described(tag, m["attrs"] or "")
-        node = Node(tag, name, at, drop)
+        name, drop, main = _described(tag, m["attrs"] or "")
+        node = Node(tag, name, at, drop, main)
         at.kids.append(node)
         if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
             at = node
@@ -153,25 +161,38 @@ def score(root: Node) -> list[Node]:
     while stack:
         node, linked = stack.pop()
         after.append(node)
+        box = node.box
         if node.tag in _CONTAINER or node is root:
             order.append(node)
+            if box is not None:
+                box.inside.append(node)
+            box = node
         linked = linked or node.tag == "a"
         for kid in reversed(node.kids):
             if isinstance(kid, Node):
                 if not kid.drop:
+                    kid.box = box
                     stack.append((kid, linked))
             else:
                 size = len(kid.strip())
                 node.text += size
                 node.linked += size if linked else 0
+        node.all, node.links = node.text, node.linked
     for node in reversed(after):
         box = node.tag in _CONTAINER or node is root
         if box:
             node.score += max(0, node.text - 2 * node.linked)
             if node.tag in ("article", "main"):
                 node.score *= SEMANTIC
+        if node.all and node.tag in _PARTS:
+            node.parts = True
+            if node.tag in _HEADINGS:
+                node.box.headed = True
         up = node.parent
         if up is not None:
+            up.all += node.all
+            up.links += node.links
+            up.parts |= node.parts
             if box:
                 up.score += UP * node.score
             else:
@@ -185,6 +206,32 @@ def best(order: list[Node]) -> Node:
     return max(order, key=lambda n: n.score)  # the first of equal ones: the outermost
 
 
+def climbed(node: Node) -> Node:
+    """The outermost container around ``node`` up to which most text outside it is article text.
+
+    Article text is a container's own text, if most of it isn't links, and the
+    containers beside ``node`` that aren't mostly links; a ``div`` must hold
+    paragraphs, headings or items, or stand in an element marked as the article.
+    There, headings may be links.
+    """
+    top, below, at = node, node, node.box
+    while at is not None:
+        own = at.text > 2 * at.linked or (at.main and at.headed)
+        more, other = (at.text, 0) if own else (0, at.text)
+        for kid in at.inside:
+            if kid is not below:
+                if kid.all > 2 * kid.links and (kid.tag not in ("div", "center") or kid.parts or at.main):
+                    more += kid.all
+                else:
+                    other += kid.all
+        if more > other:
+            top = at
+        elif other:
+            break
+        below, at = at, at.box
+    return top
+
+
 def text_of(node: Node) -> str:
     blocks: list[str] = []
     part: list[str] = []
@@ -211,11 +258,11 @@ def text_of(node: Node) -> str:
 
 
 def vote(html: str | None) -> str | None:
-    """The generalised path of the page's best container; null without text."""
+    """The generalised path of the page's best container, climbed; null without text."""
     if not html:
         return None
     top = best(score(parse(html)))
-    return top.path() if top.score > 0 else None
+    return climbed(top).path() if top.score > 0 else None
 
 
 def extract(html: str | None, paths: list[str]) -> str:
@@ -224,7 +271,8 @@ def extract(html: str | None, paths: list[str]) -> str:
     order = score(parse(html))
     wanted = set(paths)
     on_path = [n for n in order if n.score > 0 and n.path() in wanted]
-    return text_of(best(on_path or order))
+    top = best(on_path or order)
+    return text_of(climbed(top) if top.score > 0 else top)
 
 
 def host_of(url: Column) -> Column:

@@ -325,6 +325,23 @@ def test_main_text_follows_the_host(spark):
     assert got[20] == "short story"
 
 
+def test_main_text_keeps_what_stands_around_the_longest_box(spark):
+    long = "long text of the article " * 40
+    bodies = [
+        f"<div class=post><h1>Title</h1><p>lead</p><div class=body><p>{long}</p></div></div>",
+        f"<article><h1>Title</h1><div><div>lead {long}</div></div></article>",
+        f"<div class=post><h1><a href=/x>Title</a></h1><div>lead {long}</div></div>",
+        f"<div><section><h2>Title</h2><p>lead</p></section><section><p>{long}</p></section></div>",
+        f"<div><ul><li>Title<li>lead</ul><div><p>{long}</p></div></div>",
+        f"<div><table><tr><td>Title<td>lead</table><div><p>{long}</p></div></div>",
+    ]
+    around = "<nav><a href=/>Home</a></nav>{}<div class=links><a href=/1>another page</a> <a href=/2>and one more</a></div>"
+    rows = [(10 * k + i, f"http://h{k}/{i}", f"<body>{around.format(b)}</body>") for k, b in enumerate(bodies) for i in range(3)]
+    rows.append((99, "http://h9/", f"<body><div class=wrap><div class=story>{long}</div><div class=links>x <a href=/1>another page</a></div></div></body>"))
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title lead {long}".strip() for i, _, _ in rows[:-1]) and got[99] == long.strip()
+
+
 # Urls --------------------------------------------------------------------------
 
 def brute_rule(url):
