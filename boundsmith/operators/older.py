@@ -1,4 +1,4 @@
-"""The older dialect: one course a line, cardinals, azimuths, ties with parts, closing calls.
+"""The older dialect: cardinals, azimuths, compact calls, narratives, ties with parts, closing calls.
 
 It never runs unless asked for; the default dialect is in ``clauses``.
 """
@@ -35,6 +35,16 @@ TO_BEGINNING = r"(?i)\bTO\s+THE\s+(?:TRUE\s+)?POINT\s+OF\s+BEGINNING\b"
 TIE_BEARING = r"(?is)SAID\s+POINT\s+BEING\s+(NORTH|SOUTH)\s+(\d{1,3})\s*°\s*(\d{1,2})\s*['\"]\s*(\d{1,2}(?:\.\d+)?)\s*\"\s+(EAST|WEST)[,\s]+(\d+(?:\.\d+)?)\s+FEET?\s+FROM\s+(.+?)(?=;|\.|,\s*THENCE|$)"
 TIE_ALONG = r"(?is)(\d+(?:\.\d+)?)\s+FEET?\s+((?:NORTH|SOUTH)(?:EAST|WEST)?ERLY|(?:EAST|WEST)ERLY)[,\s]+AS\s+MEASURED\s+ALONG\s+([^,]+?)\s+FROM\s+(.+?)(?=;|\.|,\s*SAID|$)"
 CLOSE_TOLERANCE = 0.01
+LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029;]"
+# Several compact calls in a piece are cut before each; a quadrant in words is narrative.
+COMPACT_START = r"(?i)(?<!^)(?=\b(?:N|S)\s+\d{1,3}°|\b(?:EAST|WEST|NORTH|SOUTH)\s*,?\s*\d)"
+WORDS_QUADRANT = r"(?is)\b(?:NORTH|SOUTH)\b.{0,80}\b(?:EAST|WEST)\b"
+NARRATIVE_LINE = rf"(?i)(NORTH|SOUTH|N|S)\s*(\d{{1,3}})\s*°\s*(\d{{1,2}})\s*'\s*(\d{{1,2}}(?:\.\d+)?)\s*\"?\s*(EAST|WEST|E|W)\s+{_NUM}\s*(?:FEET|FOOT|FT)?"
+NARRATIVE_CURVE = (
+    rf"(?is)(?:\bTHENCE\b.*?)?\bALONG\s+(?:SAID\s+)?(?:A\s+)?CURVE\b.*?\b(?:TO\s+THE\s+)?(RIGHT|LEFT)\b.*?(?:\bHAVING\s+A\s+RADIUS\s+OF\b|\bRADIUS\s+OF\b|\bRADIUS\b)\s*{_NUM}\s*(?:FEET|FOOT|FT)\b"
+    rf"(?:.*?\b(?:AN\s+)?ARC(?:\s+LENGTH)?(?:\s+OF)?\b\s*{_NUM}\s*(?:FEET|FOOT|FT)\b)?"
+    r"(?:.*?\b(?:CENTRAL\s+ANGLE|DELTA)(?:\s+OF)?\b\s*(\d{1,3})\s*(?:DEGREES?|°)\s*(\d{1,2})?\s*(?:MINUTES?|')?\s*(\d{1,2}(?:\.\d+)?)?\s*(?:SECONDS?|\")?)?"
+)
 
 
 def cleaned(text: Column) -> Column:
@@ -49,8 +59,15 @@ def _got(text: Column, pattern: str, group: int) -> Column:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, line``: lines and ``;`` pieces, bare of THENCE and end marks."""
-    parts = docs.select("doc_id", F.posexplode(F.split(cleaned(F.col("source_text")), r"[\n;]")).alias("pos", "raw"))
+    """``doc_id, pos, line``: lines, ``;`` pieces and compact calls, bare of THENCE and end marks."""
+    text = F.regexp_replace(cleaned(F.col("source_text")), r"\r\n", "\n")
+
+    def cut(piece: Column) -> Column:
+        compact = piece.contains("°") & ~F.upper(piece).contains("THENCE") & ~piece.rlike(WORDS_QUADRANT)
+        return F.when(compact, F.split(piece, COMPACT_START)).otherwise(F.array(piece))
+
+    pieces = F.flatten(F.transform(F.split(text, LINE_BREAK), lambda piece: cut(F.trim(piece))))
+    parts = docs.select("doc_id", F.posexplode(pieces).alias("pos", "raw"))
     line = F.regexp_replace(F.trim("raw"), r"[;,.]+$", "")
     line = F.trim(F.regexp_replace(F.regexp_replace(line, r"(?i)\bTHENCE\b", ""), r"\s+", " "))
     return parts.select("doc_id", (F.col("pos") + 1).alias("pos"), line.alias("line")).where("line <> ''")
@@ -59,7 +76,8 @@ def chunks(docs: DataFrame) -> DataFrame:
 def parse(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, kind, id, azimuth, dist, radius, delta_deg, handedness, error``.
 
-    Ordered cascade; an arc without radius follows the last bearing before it.
+    Ordered cascade; an arc without radius follows the last bearing before it.  A
+    document without any call gets those of its whole text read as a narrative.
     """
     c = F.col("line")
     az_word = B.lookup(F.upper(F.coalesce(_got(c, CARDINAL, 1), _got(c, WORDY, 1))), {k: float(v) for k, v in CARDINAL_AZIMUTH.items()})
@@ -93,12 +111,46 @@ def parse(docs: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "bad_curve", F.concat(F.lit("CURVE_INCOMPLETE: line "), "pos", F.lit(": '"), c, F.lit("'")))
         .when(F.col("kind") == "unknown", F.concat(F.lit("UNKNOWN_ELEMENT: line "), "pos", F.lit(": '"), c, F.lit("'")))
     )
-    return rows.where("kind <> 'silent'").select(
+    found = rows.where("kind <> 'silent'").select(
         "doc_id", "pos", "kind", F.when(error.isNull(), F.concat(F.when(curve, "C").otherwise("L"), F.col("pos"))).alias("id"),
         F.coalesce("own", F.when(F.col("kind") == "arc_only", F.col("carried"))).alias("azimuth"), dist.alias("dist"),
         F.when(curve, _got(c, CURVE, 2).cast("double")).alias("radius"), F.when(curve, F.coalesce(delta, F.degrees(arc / _got(c, CURVE, 2).cast("double")))).alias("delta_deg"),
         F.when(curve, F.lower(_got(c, CURVE, 1))).alias("handedness"), error.alias("error"),
     )
+    both = found.withColumn("told", F.lit(False)).unionByName(_narrative(docs).withColumn("told", F.lit(True)))
+    of_doc = Window.partitionBy("doc_id")
+    both = both.withColumn("called", F.max(~F.col("told") & F.col("error").isNull()).over(of_doc)).withColumn("tells", F.max("told").over(of_doc))
+    return both.where(F.when(F.col("told"), ~F.col("called")).otherwise(F.col("called") | ~F.col("tells"))).drop("told", "called", "tells")
+
+
+def _narrative(docs: DataFrame) -> DataFrame:
+    """The columns of :func:`parse` for every line, then every curve, of the whole text."""
+    m = F.col("m")
+
+    def delta(text: Column) -> Column:
+        return B.dms(_got(text, NARRATIVE_CURVE, 4), _got(text, NARRATIVE_CURVE, 5), F.coalesce(_got(text, NARRATIVE_CURVE, 6), F.lit("0")))
+
+    def arc(text: Column) -> Column:
+        return F.nullif(_got(text, NARRATIVE_CURVE, 3).cast("double"), F.lit(0.0))
+
+    text = docs.select("doc_id", F.trim(F.regexp_replace(cleaned(F.col("source_text")), r"\s+", " ")).alias("t"))
+    text = text.select("doc_id", F.regexp_extract_all("t", F.lit(NARRATIVE_LINE), F.lit(0)).alias("lines"), F.regexp_extract_all("t", F.lit(NARRATIVE_CURVE), F.lit(0)).alias("curves"))
+    az = B.quadrant_azimuth(
+        B.lookup(F.upper(_got(m, NARRATIVE_LINE, 1)), LETTER), B.lookup(F.upper(_got(m, NARRATIVE_LINE, 5)), LETTER),
+        B.dms(_got(m, NARRATIVE_LINE, 2), _got(m, NARRATIVE_LINE, 3), _got(m, NARRATIVE_LINE, 4)),
+    )
+    no = {t: F.lit(None).cast(t) for t in ("double", "string")}
+    line = text.select("doc_id", F.posexplode("lines").alias("n", "m")).select(
+        "doc_id", (F.col("n") + 1).alias("pos"), F.lit("narrative").alias("kind"), F.concat(F.lit("L"), F.col("n") + 1).alias("id"), az.alias("azimuth"), _got(m, NARRATIVE_LINE, 6).cast("double").alias("dist"),
+        no["double"].alias("radius"), no["double"].alias("delta_deg"), no["string"].alias("handedness"), no["string"].alias("error"),
+    )
+    whole = F.filter("curves", lambda x: F.coalesce(delta(x), arc(x)).isNotNull())
+    radius = _got(m, NARRATIVE_CURVE, 2).cast("double")
+    curve = text.select("doc_id", F.size("lines").alias("before"), F.posexplode(whole).alias("n", "m")).select(
+        "doc_id", (F.col("before") + F.col("n") + 1).alias("pos"), F.lit("curve").alias("kind"), F.concat(F.lit("C"), F.col("n") + 1).alias("id"), no["double"].alias("azimuth"), no["double"].alias("dist"),
+        radius.alias("radius"), F.coalesce(delta(m), F.degrees(arc(m) / radius)).alias("delta_deg"), F.lower(_got(m, NARRATIVE_CURVE, 1)).alias("handedness"), no["string"].alias("error"),
+    )
+    return line.unionByName(curve)
 
 
 def reference_ties(docs: DataFrame) -> DataFrame:

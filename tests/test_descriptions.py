@@ -244,6 +244,22 @@ def test_older_dialect(spark):
     assert close.dist == pytest.approx(math.hypot(120, 60)) and close.basis == "assumed"
 
 
+def test_older_dialect_compact_and_narrative(spark):
+    df = docs(
+        spark, "N 10°0'0\" E 100 N 80°0'0\" E 50 EAST 20 feet", "E 100\r\nN 5\rW 7", "THENCE N 10°0'0\"\nE\n100 FEET ALONG A\nCURVE TO THE RIGHT HAVING A\nRADIUS OF 50 FEET AN\nARC LENGTH OF 25 FEET",
+        "NORTH 10°0'0\" EAST 100 feet", "junk",
+    )
+    got = {}
+    for r in older.parse(df).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    compact, breaks, told, words, junk = (got[k] for k in sorted(got))
+    assert [(r.id, r.kind, r.azimuth, r.dist) for r in compact] == [("L1", "quadrant", 10.0, 100.0), ("L2", "quadrant", 80.0, 50.0), ("L3", "wordy", 90.0, 20.0)]
+    assert [(r.id, r.azimuth, r.dist) for r in breaks] == [("L1", 90.0, 100.0), ("L2", 0.0, 5.0), ("L3", 270.0, 7.0)]
+    assert [(r.id, r.kind, r.azimuth, r.dist, r.radius, r.handedness) for r in told] == [("L1", "narrative", 10.0, 100.0, None, None), ("C1", "curve", None, None, 50.0, "right")]
+    assert told[1].delta_deg == pytest.approx(math.degrees(0.5))
+    assert [(r.kind, r.dist) for r in words] == [("quadrant", 100.0)] and junk[0].error.startswith("UNKNOWN_ELEMENT: line 1")
+
+
 def test_exports(spark, tmp_path):
     g = G.build_geometry(calls(spark, "N 0°0'0\" E 10 FEET; N 90°0'0\" E 10 FEET"))
     assert '"LineString"' in g.select(writers.geojson(F.col("points")).alias("v")).first().v
