@@ -19,9 +19,9 @@ shingle among their rarest ones.  So a bucket needs no cap and no link in it is
 0.8 shares no bucket with probability below 1e-5.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing;
-a component is named by its smallest non-null id; a row without id is kept only
-if :func:`drop_near_copies` can't name it; rows that share an id and a text are
-answered alike; columns of other names don't matter; an empty table gives an
+a component is named by its smallest non-null id; :func:`drop_near_copies` keeps a
+row without id only where no row of its component has one; rows that share an id
+and a text are answered alike; columns of other names don't matter; an empty table gives an
 empty result.
 """
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boundsmith.llm.common import claim, discard, written
@@ -151,10 +151,14 @@ def hopeless(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thr
     return (found < threshold) & (like.max(axis=1) - like[:, -1] > DOUBT)
 
 
-def _sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, rid, n, digest, regs`` for each row; ``rid`` is never null."""
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _sketched(docs: DataFrame, k: int, id_col: str, text_col: str, keyed: bool) -> DataFrame:
+    """``id, rid, n, digest, regs`` for each row, and ``key`` of its text if ``keyed``; ``rid`` is never null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("rid"), text.cast("binary").alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("rid"), text.cast("binary").alias("t"), *([_text_key(text).alias("key")] if keyed else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -168,11 +172,11 @@ def _sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                         regs[i] = r.astype("<i2").tobytes()
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
-                    names=["id", "rid", "n", "digest", "regs"],
+                    [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary()), *batch.columns[3:]],
+                    names=["id", "rid", "n", "digest", "regs", *batch.schema.names[3:]],
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, rid string, n long, digest binary, regs binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, rid string, n long, digest binary, regs binary" + (", key binary" if keyed else ""))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -330,12 +334,15 @@ def _unsettled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return placed.join(mixed, "key", "left_semi")
 
 
-def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: ``id_col, n_shingles, component_id, kept``."""
+def _answered(docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """``id, n, digest, component`` of each row; if ``keyed``, also ``key`` and the ``chosen`` row of its component."""
     spark = docs.sparkSession
-    rows, _ = written(_sketched(docs, k, id_col, text_col), "near-rows")
+    rows, _ = written(_sketched(docs, k, id_col, text_col, keyed), "near-rows")
+    # The first row of a class or component: one with an id, the smallest.
+    first = [F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")] if keyed else []
+    chosen = [F.min(F.struct("first", "digest")).alias("chosen")] if keyed else []
     equal = rows.where("n > 0").groupBy("digest").agg(
-        F.min("id").alias("first_id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("regs").alias("regs")
+        F.min("id").alias("first_id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("regs").alias("regs"), *first
     )
     classes, p_classes = written(equal.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
 
@@ -372,11 +379,17 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
     roots = components(links.union(more))
     discard(spark, *old, p_left, *p_rest, *p_more)
 
-    named = classes.select("digest", "first_id", "nid").join(roots, "nid", "left").select("digest", "first_id", F.coalesce("root", "nid").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component"))
-    answer, _ = written(named.join(least, "root").select("digest", "component"), "near-answer")
+    held, more = (["first"], ["chosen"]) if keyed else ([], [])
+    named = classes.select("digest", "first_id", *held, "nid").join(roots, "nid", "left").select("digest", "first_id", *held, F.coalesce("root", "nid").alias("root"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("component"), *chosen)
+    answer, _ = written(named.join(least, "root").select("digest", "component", *more), "near-answer")
     discard(spark, p_classes)
-    found = rows.select("id", "n", "digest").join(answer, "digest", "left")
+    return rows.drop("rid", "regs").join(answer, "digest", "left")
+
+
+def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: ``id_col, n_shingles, component_id, kept``."""
+    found = _answered(docs, k, threshold, id_col, text_col)
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return found.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
@@ -384,7 +397,12 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, columns unchanged."""
-    groups = near_groups(docs, k, threshold, id_col, text_col)
-    gone = groups.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each near-duplicate group, columns unchanged.
+
+    A row goes or stays by its own id and text, so ids may be null or shared.
+    """
+    found = _answered(docs, k, threshold, id_col, text_col, keyed=True)
+    stays = (F.col("digest") == F.col("chosen.digest")) & F.col("id").eqNullSafe(F.col("chosen.first.id")) & (F.col("key") == F.col("chosen.first.key"))
+    gone = found.where((F.col("n") > 0) & ~stays).select(F.col("id").alias("__gone"), F.col("key").alias("__key"))
+    key = _text_key(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (key == F.col("__key")), "left_anti")

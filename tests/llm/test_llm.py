@@ -106,6 +106,15 @@ def test_near_groups_equal_brute_force(spark):
     assert minhash.near_groups(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    """Ids may be shared or null: a row goes only if its own text is a near copy."""
+    text = lambda name, last="": " ".join(f"{name}{i}" for i in range(100)) + last
+    rows = [(1, text("a")), (5, text("a", " x")), (5, text("b")), (7, text("c")), (7, text("c", " y")), (7, text("c").upper()), (None, text("d")), (None, text("d", " z")), (None, text("e")), (9, text("f", " q")), (None, text("f")), (None, ""), (None, None), (5, "")]
+    got = minhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    full = sorted((r.text.split()[0].lower(), r.doc_id) for r in got if r.text)
+    assert full == [("a0", 1), ("b0", 5), ("c0", 7), ("d0", None), ("e0", None), ("f0", 9)] and len(got) == 9
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
