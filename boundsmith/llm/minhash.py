@@ -379,7 +379,7 @@ def _answered(docs: DataFrame, k: int, threshold: float, id_col: str, text_col:
     roots = components(links.union(more))
     discard(spark, *old, p_left, *p_rest, *p_more)
 
-    held, more = (["first"], ["chosen"]) if keyed else ([], [])
+    held, more = (["first"], ["chosen"]) if first else ([], [])
     named = classes.select("digest", "first_id", *held, "nid").join(roots, "nid", "left").select("digest", "first_id", *held, F.coalesce("root", "nid").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component"), *chosen)
     answer, _ = written(named.join(least, "root").select("digest", "component", *more), "near-answer")
