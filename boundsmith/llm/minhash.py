@@ -15,14 +15,14 @@ over the registers discards hopeless pairs; the rest is decided on the full sets
 A large group of near copies so becomes one component from a few pairs for each
 member.  Classes that no centre connected though they share a bucket then meet by
 the prefix filter of exact similarity joins: two sets that are similar have a common
-shingle among their rarest ones.  So a bucket needs no cap and no link in it is lost.  With 30 bands of 5 a pair at similarity
-0.8 shares no bucket with probability below 1e-5.
+shingle among their rarest ones.  So a bucket needs no cap and no link in it is lost.  With 30 bands
+of 5 a pair at similarity 0.8 shares no bucket with probability below 1e-5.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing;
 a component is named by its smallest non-null id; :func:`drop_near_copies` keeps a
 row without id only where no row of its component has one; rows that share an id
-and a text are answered alike; columns of other names don't matter; an empty table gives an
-empty result.
+but not a text are decided each by its own text, rows that share both are answered
+alike; columns of other names don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundsmith.llm.common import claim, discard, written
+from boundsmith.llm.common import Cache, discard, mapped, written
 
 BANDS, ROWS = 30, 5
 #: Random orders of a bucket's members in each round of centres.
@@ -75,13 +75,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _WordHashes()
+_WORDS = Cache(200_000, xxhash.xxh3_64_intdigest)
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -89,9 +83,7 @@ def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    claim(_WORDS)
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
+    _WORDS.turn()
     hashed = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
     size = min(k, len(words))
     out = np.full(len(words) - size + 1, np.uint64(size), np.uint64)
@@ -156,9 +148,9 @@ def _text_key(text: Column) -> Column:
 
 
 def _sketched(docs: DataFrame, k: int, id_col: str, text_col: str, keyed: bool) -> DataFrame:
-    """``id, rid, n, digest, regs`` for each row, and ``key`` of its text if ``keyed``; ``rid`` is never null."""
+    """``id, tid, n, digest, regs`` for each row, and ``key`` of its text if ``keyed``; ``tid`` finds texts again."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("rid"), text.cast("binary").alias("t"), *([_text_key(text).alias("key")] if keyed else []))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), text.cast("binary").alias("t"), *([_text_key(text).alias("key")] if keyed else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -173,10 +165,10 @@ def _sketched(docs: DataFrame, k: int, id_col: str, text_col: str, keyed: bool)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary()), *batch.columns[3:]],
-                    names=["id", "rid", "n", "digest", "regs", *batch.schema.names[3:]],
+                    names=["id", "tid", "n", "digest", "regs", *batch.schema.names[3:]],
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, rid string, n long, digest binary, regs binary" + (", key binary" if keyed else ""))
+    return mapped(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, tid long, n long, digest binary, regs binary" + (", key binary" if keyed else ""))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -193,17 +185,17 @@ def _bands(classes: DataFrame) -> DataFrame:
             nids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(nids, pa.int64())], names=["key", "nid"])
 
-    return classes.select("nid", "regs").mapInArrow(run, "key long, nid long")
+    return mapped(classes.select("nid", "regs"), run, "key long, nid long")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, nids: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+def _texts(docs: DataFrame, classes: DataFrame, nids: DataFrame, k: int, text_col: str) -> tuple[DataFrame, str]:
     """``nid, t`` of the named classes, written once.
 
-    Rows may share an id: a row whose set is the class's set stands for the class.
+    Texts are found by a hash; one whose set is the class's set stands for the class.
     """
-    wanted = classes.select("nid", "rid", "digest").join(nids, "nid", "left_semi")
+    wanted = classes.select("nid", "tid", "digest").join(nids, "nid", "left_semi")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")).alias("rid"), text.cast("binary").alias("t"))
+    source = docs.select(F.xxhash64(text).alias("tid"), text.cast("binary").alias("t"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +205,7 @@ def _texts(docs: DataFrame, classes: DataFrame, nids: DataFrame, k: int, id_col:
             ]
             yield batch.select(["nid", "t"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(source.join(wanted, "rid").mapInArrow(checked, "nid long, t binary").groupBy("nid").agg(F.min("t").alias("t")), "near-texts")
+    return written(mapped(source.join(wanted, "tid"), checked, "nid long, t binary").groupBy("nid").agg(F.min("t").alias("t")), "near-texts")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -235,14 +227,15 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
             keep = ~hopeless(r_a, r_b, n_a, n_b, threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return known.mapInArrow(likely, "a long, b long")
+    return mapped(known, likely, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, list[str]]:
     """Those of ``pairs (a, b)`` that are similar on their full sets, and written stages to discard."""
     hopeful, p_hopeful = written(pairs, "near-pairs")
     needed = hopeful.select(F.col("a").alias("nid")).union(hopeful.select("b")).distinct()
-    own = texts.join(needed, "nid", "left_semi")
+    # Written, so that both joins below are plain shuffled ones, whose hot centres adaptive execution splits.
+    own, p_own = written(texts.join(needed, "nid", "left_semi"), "near-own")
     both = hopeful.join(own.toDF("b", "t_b"), "b").join(own.toDF("a", "t_a"), "a").select("a", "b", "t_a", "t_b")
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +248,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> t
                 keep.append(similar(held, shingles(words_of(t_b), k), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links, p_links = written(both.mapInArrow(decided, "a long, b long"), "near-links")
+    links, p_links = written(mapped(both, decided, "a long, b long"), "near-links")
+    discard(links.sparkSession, p_own)
     return links, [p_hopeful, p_links]
 
 
@@ -274,7 +268,7 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, classes: DataFrame, k: int,
                 hashes = shingle_hashes(t, k)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(np.full(len(hashes), nid))], names=["hash", "nid"])
 
-    every = texts.join(left.select("nid"), "nid", "left_semi").mapInArrow(exploded, "hash long, nid long")
+    every = mapped(texts.join(left.select("nid"), "nid", "left_semi"), exploded, "hash long, nid long")
     counted, p_counted = written(every.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-counts")
     ranked = every.join(counted, "hash").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("s"))
     ranked = ranked.join(left, "nid").join(classes.select("nid", "n"), "nid")
@@ -342,15 +336,15 @@ def _answered(docs: DataFrame, k: int, threshold: float, id_col: str, text_col:
     first = [F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")] if keyed else []
     chosen = [F.min(F.struct("first", "digest")).alias("chosen")] if keyed else []
     equal = rows.where("n > 0").groupBy("digest").agg(
-        F.min("id").alias("first_id"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("regs").alias("regs"), *first
+        F.min("id").alias("first_id"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("regs").alias("regs"), *first
     )
     classes, p_classes = written(equal.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
 
-    keyed = _bands(classes)
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members, p_members = written(keyed.join(shared.select("key"), "key"), "near-buckets")
+    banded = _bands(classes)
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members, p_members = written(banded.join(shared.select("key"), "key"), "near-buckets")
 
-    texts, p_texts = _texts(docs, classes, members.select("nid").distinct(), k, id_col, text_col)
+    texts, p_texts = _texts(docs, classes, members.select("nid").distinct(), k, text_col)
 
     tried = links = roots = None
     old: list[str] = [p_members, p_texts]
@@ -384,7 +378,7 @@ def _answered(docs: DataFrame, k: int, threshold: float, id_col: str, text_col:
     least = named.groupBy("root").agg(F.min("first_id").alias("component"), *chosen)
     answer, _ = written(named.join(least, "root").select("digest", "component", *more), "near-answer")
     discard(spark, p_classes)
-    return rows.drop("rid", "regs").join(answer, "digest", "left")
+    return rows.drop("tid", "regs").join(answer, "digest", "left")
 
 
 def near_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,6 +397,6 @@ def drop_near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col
     """
     found = _answered(docs, k, threshold, id_col, text_col, keyed=True)
     stays = (F.col("digest") == F.col("chosen.digest")) & F.col("id").eqNullSafe(F.col("chosen.first.id")) & (F.col("key") == F.col("chosen.first.key"))
-    gone = found.where((F.col("n") > 0) & ~stays).select(F.col("id").alias("__gone"), F.col("key").alias("__key"))
-    key = _text_key(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (key == F.col("__key")), "left_anti")
+    gone = found.where((F.col("n") > 0) & ~stays).select("id", "key").alias("gone")
+    key = _text_key(F.coalesce(F.col(f"rows.`{text_col}`"), F.lit("")))
+    return docs.alias("rows").join(gone, F.col(f"rows.`{id_col}`").eqNullSafe(F.col("gone.id")) & (key == F.col("gone.key")), "left_anti")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boundsmith.llm.common import mapped
 from boundsmith.llm.tokens import encoder
 
 WINDOW = 1024
@@ -197,4 +198,4 @@ def pack(
         if kind is not None:
             yield from flush()
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

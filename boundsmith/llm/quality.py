@@ -9,8 +9,9 @@ of the text's n-grams of their kind, and the score is a sparse dot product.
 
 Training is follow-the-regularised-leader with per-coordinate rates, over a
 sample of at most ``max_rows`` labelled rows (chosen by a hash of the id; this
-bound is the only sample here).  ``doc_id``, ``lang``, ``source`` and labels are
-never features.
+bound is the only sample here).  The driver reads their features row by row in each
+pass, so it holds the weights and one row.  ``doc_id``, ``lang``, ``source`` and labels
+are never features.
 
 Defined cases: a null or empty text has no tokens and gets the score of the bias
 alone; a null id is never held out; a label that is null teaches nothing; ids that
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundsmith.llm.common import claim
+from boundsmith.llm.common import Cache, discard, mapped, written
 
 BITS = 18
 FOLDS = 5
@@ -52,19 +53,14 @@ def _shape_run(m: re.Match) -> str:
     return "A" if run.isupper() and len(run) > 1 else "Aa"
 
 
-class _Tokens(dict):
-    """Token to a word hash (low 32 bits) and a shape hash (high 32 bits)."""
+def _hashes(token: str) -> int:
+    """A word hash (low 32 bits) and a shape hash (high 32 bits)."""
+    word = token.strip(_MARKS).lower() or token
+    shape = _RUNS.sub(_shape_run, token)
+    return xxhash.xxh32_intdigest(word.encode()) | xxhash.xxh32_intdigest(shape.encode(), 1) << 32
 
-    def __missing__(self, token: str) -> int:
-        word = token.strip(_MARKS).lower() or token
-        shape = _RUNS.sub(_shape_run, token)[:24]
-        value = xxhash.xxh32_intdigest(word.encode()) | xxhash.xxh32_intdigest(shape.encode(), 1) << 32
-        if len(token) <= 64:
-            self[token] = value
-        return value
 
-
-_TOKENS = _Tokens()
+_TOKENS = Cache(200_000, _hashes)
 
 
 def ngrams(text: str | None) -> list[np.ndarray]:
@@ -72,9 +68,7 @@ def ngrams(text: str | None) -> list[np.ndarray]:
     tokens = text.split() if text else []
     if not tokens:
         return []
-    claim(_TOKENS)
-    if len(_TOKENS) > 400_000:
-        _TOKENS.clear()
+    _TOKENS.turn()
     both = np.array(list(map(_TOKENS.__getitem__, tokens)), np.uint64)
     word, shape = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
     shift = np.uint64(64 - BITS)
@@ -108,12 +102,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha: float = 1.0, beta: float = 0.1, l1: float = 0.002, l2: float = 0.01) -> Model:
-    """FTRL-proximal: ``z`` sums adjusted gradients, ``n`` their squares."""
+Example = tuple[np.ndarray, np.ndarray, int]
+
+
+def train(rows: Callable[[], Iterable[Example]], epochs: int = 4, alpha: float = 1.0, beta: float = 0.1, l1: float = 0.002, l2: float = 0.01) -> Model:
+    """FTRL-proximal: ``z`` sums adjusted gradients, ``n`` their squares; ``rows`` gives all examples again."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     for _ in range(epochs):
-        for at, value, label in rows:
+        for at, value, label in rows():
             at = np.append(at, size)
             value = np.append(value, 1.0)
             zi, ni = z[at], n[at]
@@ -146,9 +143,17 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: i
                 names=["i", "y", "at", "value"],
             )
 
-    rows = texts.mapInArrow(run, "i string, y int, at binary, value binary").collect()
-    rows.sort(key=lambda r: (xxhash.xxh32_intdigest(r.i), r.i, r.y, r.at))
-    return train([(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(float), r.y) for r in rows])
+    order = (F.xxhash64("i"), F.col("i"), F.col("y"), F.col("at"))
+    # An id may have many rows, so the bound holds again here.
+    kept, path = written(mapped(texts, run, "i string, y int, at binary, value binary").orderBy(*order).limit(max_rows), "quality-rows")
+
+    def examples() -> Iterator[Example]:
+        for r in kept.orderBy(*order).toLocalIterator():
+            yield np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(float), r.y
+
+    model = train(examples)
+    discard(docs.sparkSession, path)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +166,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             scores = [held.value.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["i", "score"])
 
-    out = rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, score double")
+    out = mapped(rows, run, f"i {rows.schema['i'].dataType.simpleString()}, score double")
     return out.select(F.col("i").alias(id_col), held_out(F.col("i")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -174,4 +179,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array([held.value.score(t.as_py()) >= THRESHOLD for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

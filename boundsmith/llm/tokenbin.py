@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boundsmith.llm.common import new_path
+from boundsmith.llm.common import mapped, new_path
 from boundsmith.llm.tokens import encoder
 
 _MASK = 0xA282EAD8  # fixed value of the masked-checksum format
@@ -126,7 +126,7 @@ def write_records(
             [pa.array([task.partitionId()]), pa.array([name]), pa.array([n_docs]), pa.array([n_ids])], names=["p", "name", "docs", "ids"]
         )
 
-    done = ordered.mapInArrow(write, "p long, name string, docs long, ids long").collect()
+    done = mapped(ordered, write, "p long, name string, docs long, ids long").collect()
     return [(r.name, r.docs, r.ids) for r in sorted(done, key=lambda r: r.p)]
 
 
@@ -183,4 +183,4 @@ def read_records(spark: SparkSession, shards: list[tuple[str, int, int]], id_col
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     n = max(1, len(shards))
-    return spark.range(0, len(shards), 1, n).mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids binary")
+    return mapped(spark.range(0, len(shards), 1, n), read, f"`{id_col}` long, start long, n_tokens long, ids binary")

@@ -1,5 +1,9 @@
 """Token counts under a unigram vocabulary, without building the tokens.
 
+The registered query takes the pieces and scores of the one sentencepiece file there
+is, which was made for merging (BPE).  Its counts are those of a Unigram model with
+these pieces and scores, not what that file's own tokenizer would give.
+
 An Aho-Corasick automaton over the vocabulary enumerates the pieces that end at
 each character; dynamic programming carries the best score, the number of tokens
 and how the best path ends, nothing else.  The rules are the tokenizer library's
@@ -27,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boundsmith.llm.common import Cache, mapped
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the tokenizer library
 _PART_BYTES = 4 << 20
@@ -43,7 +49,7 @@ def sentencepiece_vocabulary(path: str) -> list[tuple[str, float]]:
 class Counter:
     """Counts tokens of words; ``unknown`` is the index of the unknown piece."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], unknown: int = 0, byte_fallback: bool = True, entries: int = 500_000) -> None:
+    def __init__(self, vocabulary: list[tuple[str, float]], unknown: int = 0, byte_fallback: bool = True, entries: int = 200_000) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -54,8 +60,7 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown_score = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in names} if byte_fallback else set()
-        self.cache: dict[str, int] = {}
-        self.entries = entries
+        self.cache = Cache(entries, self.word)
 
     def word(self, word: str) -> int:
         """Tokens of one pre-tokenized word."""
@@ -104,17 +109,8 @@ class Counter:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK), MARK, "\x00" + MARK)
         lists = pc.split_pattern(marked, "\x00")
         words = lists.flatten().dictionary_encode()
-        if len(self.cache) > self.entries:
-            self.cache.clear()
-        known = []
-        for w in words.dictionary.to_pylist():
-            c = self.cache.get(w)
-            if c is None:
-                c = self.word(w)
-                if len(w) <= 64:
-                    self.cache[w] = c
-            known.append(c)
-        per_word = pa.array(known, pa.int64()).take(words.indices)
+        self.cache.turn()
+        per_word = pa.array(map(self.cache.__getitem__, words.dictionary.to_pylist()), pa.int64()).take(words.indices)
         total = pc.fill_null(pc.cumulative_sum(per_word), 0).to_pylist()
         ends = [o - lists.offsets[0].as_py() for o in lists.offsets.to_pylist()]
         at = [total[e - 1] if e else 0 for e in ends]
@@ -145,4 +141,4 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
             found += counter.counts(pa.concat_arrays([texts.slice(at)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["i", "n"])
 
-    return rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, n long").toDF(id_col, "n_tokens")
+    return mapped(rows, run, f"i {rows.schema['i'].dataType.simpleString()}, n long").toDF(id_col, "n_tokens")

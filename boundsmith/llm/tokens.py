@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from boundsmith.llm.common import claim
+from boundsmith.llm.common import LONGEST_KEY, Cache
 
 #: Control characters, other white space and joiners, or blanks that meet or stand at an end.
 _ODD = "[\x00-\x09\x0b-\x1f\x7f-\xa0\xad ᠎ -‏ -  -⁤　﻿]|[ \n][ \n]|^[ \n]|[ \n]\\z"
@@ -36,18 +36,17 @@ def _source(word: str) -> str:
 class Encoder:
     """Encodes Arrow arrays of texts to token ids, little-endian unsigned 32-bit.
 
-    ``entries`` bounds the cache, which is emptied when full; ``part_bytes`` bounds
-    the text that is split at once.
+    ``entries`` bounds the cache; ``part_bytes`` bounds the text that is split at once.
     """
 
-    def __init__(self, path: str, entries: int = 500_000, part_bytes: int = 2 << 20) -> None:
+    def __init__(self, path: str, entries: int = 200_000, part_bytes: int = 2 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
-        self.entries, self.part_bytes = entries, part_bytes
+        self.cache = Cache(entries)
+        self.part_bytes = part_bytes
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -55,36 +54,39 @@ class Encoder:
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words; only words bare of end marks enter the cache."""
-        cache, out, later = self.cache, [], []
-        fresh: dict[str, None] = {}
+        self.cache.turn()
+        young, old = self.cache.get, self.cache.old.get
+        out: list[bytes | None] = []
+        later: list[tuple[int, str, str | None]] = []
+        met: dict[str, bytes | None] = {}  # what isn't young yet
         for place, word in enumerate(words):
-            ids = cache.get(word)
+            ids = young(word)
             if ids is None:
                 core = word.rstrip(_ENDS)
-                if core is not word and core.lstrip("\x00\x01").isalpha() and len(core) < len(word):
+                if len(core) < len(word) and core.lstrip("\x00\x01").isalpha():
                     mark = _START + word[len(core) :]
-                    if core in cache and mark in cache:
-                        ids = cache[core] + cache[mark]
+                    head, tail = young(core), young(mark)
+                    if head is not None and tail is not None:
+                        ids = head + tail
                     else:
                         later.append((place, core, mark))
-                        fresh[core] = fresh[mark] = None
+                        met[core], met[mark] = head or old(core), tail or old(mark)
                 else:
-                    later.append((place, word, None))
-                    fresh[word] = None
+                    ids = met[word] = old(word)
+                    if ids is None:
+                        later.append((place, word, None))
             out.append(ids)
-        unknown = [w for w in fresh if w not in cache]
-        cache.update(zip(unknown, self.whole([_source(w) for w in unknown]), strict=True))
+        unknown = [w for w, ids in met.items() if ids is None]
+        met.update(zip(unknown, self.whole([_source(w) for w in unknown]), strict=True))
         for place, core, mark in later:
-            out[place] = cache[core] if mark is None else cache[core] + cache[mark]
+            out[place] = met[core] if mark is None else met[core] + met[mark]
+        self.cache.update((w, ids) for w, ids in met.items() if len(w) <= LONGEST_KEY)
         return out
 
     def _plain(self, texts: pa.Array) -> list[bytes]:
         marked = pc.binary_replace_slice(pc.replace_substring(texts, "\n", " " + _LINE), 0, 0, _START)
         lists = pc.split_pattern(marked, " ")
         words = lists.flatten().dictionary_encode()
-        claim(self.cache)
-        if len(self.cache) > self.entries:
-            self.cache.clear()
         ids = pa.array(self._ids(words.dictionary.to_pylist()), pa.binary()).take(words.indices)
         places = np.frombuffer(ids.buffers()[1], "<i4")[: len(ids) + 1]
         ends = places[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
