@@ -11,6 +11,10 @@ null id ranks after every other id.  Rows that share both id and text are one
 document: :func:`exact_groups` answers each alike, :func:`drop_exact_copies`
 keeps one.  Columns of other names are passed through or ignored, whatever they
 are called.  An empty table gives an empty result.
+
+Scale: the text is shuffled once, after partial aggregation, so a group of copies
+sends a row for each task; rows meet their group by two hashes, hot groups by a
+broadcast of proven size.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from pyspark.sql import functions as F
 
 from boundsmith.llm.common import written
 
+#: Groups that hold more than one in so many of all rows are met by broadcast.
+HOT_GROUPS = 1000
+
 #: The characters that normalisation deletes.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -52,6 +59,25 @@ def _groups(keyed: DataFrame) -> DataFrame:
     return once.select("hash", "sha", F.when(F.col("texts") > 1, F.raise_error(both).cast("long")).otherwise(F.col("rows")).alias("rows"), "neg", "id")
 
 
+def _met(rows: DataFrame, repeated: DataFrame, total: int, keys: tuple[str, str]) -> DataFrame:
+    """``rows`` with their group ``g_`` (null for a text of its own) by the columns ``keys``, hash and SHA-256.
+
+    Groups with at least a ``1 / HOT_GROUPS`` share of the rows, so ``HOT_GROUPS`` of
+    them at most, are broadcast.  Their rows then take part in the shuffled join under
+    the number of their partition, which meets nothing, so that no key is hot.
+    """
+    hash_key, sha_key = keys
+    named = repeated.select("hash", "sha", "rows", "neg", "id")
+    hot = named.where(F.col("rows") * HOT_GROUPS >= total).toDF("h_hash", "h_sha", "h_rows", "h_neg", "h_id")
+    cold = named.where(F.col("rows") * HOT_GROUPS < total).toDF("c_hash", "c_sha", "c_rows", "c_neg", "c_id")
+    dealt = rows.join(F.broadcast(hot), (F.col(hash_key) == F.col("h_hash")) & (F.col(sha_key) == F.col("h_sha")), "left").withColumn(
+        "g_key", F.when(F.col("h_hash").isNull(), F.col(hash_key)).otherwise(F.concat(F.lit("hot "), F.spark_partition_id().cast("string")))
+    )
+    met = dealt.join(cold, (F.col("g_key") == F.col("c_hash")) & (F.col(sha_key) == F.col("c_sha")), "left")
+    own = [c for c in rows.columns if c not in keys]
+    return met.select(*own, sha_key, *[F.coalesce(f"h_{c}", f"c_{c}").alias(f"g_{c}") for c in ("hash", "rows", "neg", "id")])
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = F.md5
 ) -> DataFrame:
@@ -60,17 +86,16 @@ def exact_groups(
     Of equal texts the row with the most code points in its own text stays, then
     the smallest id.  ``hash_of`` gives the grouping hash.
     """
-    groups = _groups(_keyed(docs, id_col, text_col, hash_of)).select(
-        F.col("hash").alias("g_hash"), F.col("sha").alias("g_sha"), "rows", F.col("id").alias("keep_id")
-    )
-    rows = _keyed(docs, id_col, text_col, hash_of).select("row_id", "hash", F.sha2("norm", 256).alias("text_sha256"))
-    return rows.join(groups, (F.col("hash") == F.col("g_hash")) & (F.col("text_sha256") == F.col("g_sha"))).select(
-        F.col("row_id").alias(id_col),
-        "keep_id",
-        F.col("rows").alias("group_size"),
-        F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-    )
+    keyed = _keyed(docs, id_col, text_col, hash_of)
+    repeated, _ = written(_groups(keyed).where("rows > 1"), "exact-groups")
+    rows = keyed.select("row_id", "hash", F.sha2("norm", 256).alias("text_sha256"))
+    found = _met(rows, repeated, docs.count(), ("hash", "text_sha256"))
+    alone = F.col("g_hash").isNull()
+    keep_id = F.when(alone, F.col("row_id")).otherwise(F.col("g_id"))
+    return found.select(
+        F.col("row_id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("g_rows", F.lit(1)).cast("long").alias("group_size"),
+        F.col("row_id").eqNullSafe(keep_id).alias("kept"), "text_sha256",
+    )
 
 
 def drop_exact_copies(
@@ -78,16 +103,18 @@ def drop_exact_copies(
 ) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns unchanged.
 
-    Only repeated texts take part in the join; all other rows stay as they are.
+    Only repeated texts are grouped again; all other rows stay as they are.
     """
     repeated, _ = written(_groups(_keyed(docs, id_col, text_col, hash_of)).where("rows > 1"), "exact-groups")
-    g = repeated.select(F.col("hash").alias("__hash"), F.col("sha").alias("__sha"), F.col("neg").alias("__neg"), F.col("id").alias("__id"))
-    norm = normalised(F.col(text_col))
-    keys = [hash_of(norm) == F.col("__hash"), F.sha2(norm, 256) == F.col("__sha")]
-    met = docs.join(g, keys[0] & keys[1], "left")
-    first = F.col(id_col).eqNullSafe(F.col("__id")) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == -F.col("__neg"))
-    own = [F.col(c) for c in docs.columns]
-    single = met.where(F.col("__hash").isNull()).select(*own)
-    stays = met.where(F.col("__hash").isNotNull() & first)
-    one = stays.groupBy("__hash", "__sha").agg(*[F.first(c).alias(c) for c in docs.columns]).select(*own)
-    return single.unionByName(one)
+    # The row travels as one struct, so its columns may have any names.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.length(text).alias("len"),
+        hash_of(normalised(text)).alias("hash"), F.sha2(normalised(text), 256).alias("sha"),
+    )
+    met = _met(rows, repeated, docs.count(), ("hash", "sha"))
+    first = F.col("row_id").eqNullSafe(F.col("g_id")) & (F.col("len") == -F.col("g_neg"))
+    single = met.where(F.col("g_hash").isNull()).select("row.*")
+    # Rows that share the id and the length of the one that stays.
+    one = met.where(F.col("g_hash").isNotNull() & first).groupBy("g_hash", "sha").agg(F.first("row").alias("row")).select("row.*")
+    return single.union(one)
