@@ -2,12 +2,13 @@
 
 Pass one scores every container of a page by the text of its blocks, outside
 links and boilerplate, and climbs from the best one to the containers around it
-that hold more of the article: headings, paragraphs, sections, lists, tables.  It
-names what it reached by its generalised path: tags with their classes, digits
-replaced.  Spark counts the votes of each host.  Pass two
-takes the host's winning paths (all with at least ``share`` of its votes, so at
-most ``1 / share`` of them) and extracts the element on the winning path that
-scores best in the page, climbing likewise; a page without such an element uses its own best one.
+that hold more of the article: headings, paragraphs, sections, lists, tables.  The page
+votes for the generalised path of what it reached: tags with their classes, digits
+replaced.  Spark counts per host and path the pages that have it and those that vote
+for it.  Of the paths in a page the one with the largest share of votes among the pages
+that have it wins, whatever number of layouts the host has; the page's own vote wins a
+tie.  Pass two extracts the element on the winning path that scores best in the page,
+climbing likewise.
 
 The text: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined in page order by one space.
@@ -17,12 +18,16 @@ Defined cases: a null or empty page has the empty text; a null url, or one witho
 that repeat vote and are answered each; columns of other names don't matter; an
 empty table gives an empty result.
 
-Scale: only (host, path) counts are shuffled before the vote; the winners are a
-row for each host, joined by host with adaptive skew handling.
+Scale: only paths, as 64-bit hashes, and their counts are shuffled by host.  The
+pages for which another path won than their own vote are few on hosts with a consensus;
+they are joined to the pages by a digest of host and html, by broadcast where that table
+is small and else by a shuffled join that adaptive execution splits.  Parsing a page
+takes time in proportion to its length, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -31,7 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 0.1
+from boundsmith.llm.common import mapped, written
+
+#: Added to the pages that have a path, so that few votes count less.
+DOUBT = 2.0
 UP, SEMANTIC = 0.85, 1.25
 
 _TOKEN = re.compile(
@@ -58,6 +66,12 @@ _PARTS = _HEADINGS | frozenset("blockquote dd figure li p pre".split())
 _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary", "body", "html"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+_NONE: frozenset[str] = frozenset()
+_CELLS = frozenset(("td", "th"))
+_TABLE = _CELLS | {"tr", "tbody", "thead", "tfoot", "table", "body", "html"}
+#: A block ends an open paragraph, unless one of these stands between.
+_P_SCOPE = frozenset(("td", "th", "li", "button", "article", "section", "blockquote", "body"))
+_P_OWN = frozenset(("td", "th", "li", "button"))
 # Words in class names and ids that mark boilerplate.
 _ALWAYS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies "
@@ -69,7 +83,7 @@ _MAIN = frozenset("article body content entry main post story text".split())
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "kids", "drop", "main", "score", "text", "linked", "all", "links", "box", "inside", "parts", "headed")
+    __slots__ = ("tag", "name", "parent", "kids", "drop", "main", "score", "text", "linked", "all", "links", "box", "inside", "parts", "headed", "digest")
 
     def __init__(self, tag: str, name: str, parent: Node | None, drop: bool, main: bool = False) -> None:
         self.tag, self.name, self.parent, self.drop, self.main = tag, name, parent, drop, main
@@ -80,6 +94,12 @@ class Node:
         self.box: Node | None = None  # the container around it
         self.inside: list[Node] = []  # a container's next containers
         self.parts = self.headed = False
+        #: Of the path, without walking it: the parent's digest and the own name.
+        self.digest = b"" if parent is None or tag == "html" else hashlib.blake2b(parent.digest + name.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+    @property
+    def key(self) -> int:
+        return int.from_bytes(self.digest, "little", signed=True)
 
     def path(self) -> str:
         names, at = [], self
@@ -110,42 +130,46 @@ def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
 
 def parse(html: str) -> Node:
     """A tree of elements and decoded strings; raw elements and comments are left out."""
-    root = at = Node("#root", "", None, False)
+    root = Node("#root", "", None, False)
+    stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
     place = 0
 
-    def close(tag: str, scope: set[str]) -> None:
-        nonlocal at
-        seek = at
-        while seek.parent is not None and seek.tag not in scope:
-            if seek.tag == tag:
-                at = seek.parent
-                return
-            seek = seek.parent
+    def close(tag: str, scope: frozenset[str]) -> None:
+        """Ends the innermost open ``tag`` if no element of ``scope`` is open inside it."""
+        held = places.get(tag)
+        if held and not any(p[-1] > held[-1] for s in scope if s != tag and (p := places.get(s))):
+            depth = held[-1]
+            for node in stack[depth:]:
+                places[node.tag].pop()
+            del stack[depth:]
 
     for m in _TOKEN.finditer(html):
         if m.start() > place:
-            at.kids.append(unescape(html[place : m.start()]))
+            stack[-1].kids.append(unescape(html[place : m.start()]))
         place = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if m["end"]:
             if tag not in _VOID:
-                close(tag, {"td", "th"} if tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html") else set())
+                close(tag, _NONE if tag in _TABLE else _CELLS)
             elif tag == "br":
-                at.kids.append(Node("br", "br", at, False))
+                stack[-1].kids.append(Node("br", "br", stack[-1], False))
             continue
         if tag in _ENDS_P:
-            close("p", {"article", "section", "div", "td", "th", "li", "blockquote", "body", "button"} - {tag} if tag != "p" else {"td", "th", "li", "button"})
+            close("p", _P_SCOPE if tag != "p" else _P_OWN)
         for same in _SAME.get(tag, ()):
             close(same, _SCOPE[tag])
-        name, drop, main = _described(tag, m["attrs"] or "")
-        node = Node(tag, name, at, drop, main)
-        at.kids.append(node)
-        if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
-            at = node
+        attrs = m["attrs"] or ""
+        name, drop, main = _described(tag, attrs)
+        node = Node(tag, name, stack[-1], drop, main)
+        stack[-1].kids.append(node)
+        if tag not in _VOID and not attrs.endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(node)
     if place < len(html):
-        at.kids.append(unescape(html[place:]))
+        stack[-1].kids.append(unescape(html[place:]))
     return root
 
 
@@ -257,21 +281,22 @@ def text_of(node: Node) -> str:
     return " ".join(blocks)
 
 
-def vote(html: str | None) -> str | None:
-    """The generalised path of the page's best container, climbed; null without text."""
+def vote(html: str | None) -> tuple[Node | None, list[Node]]:
+    """The page's best container, climbed, and all that have text, the best first."""
     if not html:
-        return None
-    top = best(score(parse(html)))
-    return climbed(top).path() if top.score > 0 else None
+        return None, []
+    order = [n for n in score(parse(html)) if n.score > 0]
+    if not order:
+        return None, []
+    return climbed(best(order)), sorted(order, key=lambda n: -n.score)
 
 
-def extract(html: str | None, paths: list[str]) -> str:
+def extract(html: str | None, key: int | None = None) -> str:
+    """The text of the best container on the path ``key``, or else of the best one; climbed."""
     if not html:
         return ""
     order = score(parse(html))
-    wanted = set(paths)
-    on_path = [n for n in order if n.score > 0 and n.path() in wanted]
-    top = best(on_path or order)
+    top = best([n for n in order if n.score > 0 and n.key == key] or order)
     return text_of(climbed(top) if top.score > 0 else top)
 
 
@@ -279,24 +304,34 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^.*?://([^/?#]*)", 1))
 
 
-def main_text(pages: DataFrame, share: float = SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col, url_col, text, n_chars`` for each row of ``pages``."""
-    base = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h"), host_of(F.col(url_col)).alias("host"))
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    host = host_of(F.col(url_col))
+    # Pages with equal host and html are answered alike, so a digest of both names them.
+    base = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), html.alias("h"), host.alias("host"), F.unhex(F.md5(F.concat(host, F.lit("\n"), html))).alias("digest"))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vote(h.as_py()) for h in batch.column(1)], pa.string())], names=["host", "path"])
-
-    counted = base.select("host", "h").mapInArrow(votes, "host string, path string").where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.groupBy("host").agg(F.sum("n").alias("all"))
-    winners = counted.join(total, "host").where(F.col("n") >= share * F.col("all")).groupBy("host").agg(F.collect_list("path").alias("paths"))
-    met = base.join(winners, "host", "left").select("i", "u", "h", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
+            own, keys = [], []
+            for h in batch.column("h"):
+                top, order = vote(h.as_py())
+                own.append(top.key if top else None)
+                keys.append(list(dict.fromkeys(n.key for n in order)))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("host"), pa.array(own, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["digest", "host", "vote", "keys"])
+
+    seen, _ = written(mapped(base.select("digest", "host", "h"), votes, "digest binary, host string, vote long, keys array<long>").where("vote is not null"), "page-votes")
+    every = seen.select("digest", "host", "vote", F.posexplode("keys").alias("at", "key"))
+    counted = every.groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages"), F.sum((F.col("key") == F.col("vote")).cast("long")).alias("votes")).where("votes > 0")
+    share = F.struct((F.col("votes") / (F.col("pages") + DOUBT)).alias("share"), (F.col("key") == F.col("vote")).alias("own"), (-F.col("at")).alias("rank"), F.col("key"))
+    decided = every.join(counted, ["host", "key"]).groupBy("digest", "vote").agg(F.max(share).alias("won"))
+    other, _ = written(decided.where("won.key <> vote").select("digest", F.col("won.key").alias("key")), "page-paths")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(h.as_py(), p.as_py()) for h, p in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["i", "u", "t"])
+            found = [extract(h.as_py(), k.as_py()) for h, k in zip(batch.column("h"), batch.column("key"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("u"), pa.array(found, pa.string())], names=["i", "u", "t"])
 
-    kind = met.schema["i"].dataType.simpleString()
-    out = met.mapInArrow(texts, f"i {kind}, u string, t string")
+    met = base.join(other, "digest", "left").select("i", "u", "h", "key")
+    out = mapped(met, texts, f"i {met.schema['i'].dataType.simpleString()}, u string, t string")
     return out.select(F.col("i").alias(id_col), F.col("u").alias(url_col), F.col("t").alias("text"), F.length("t").cast("long").alias("n_chars"))
