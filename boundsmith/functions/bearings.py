@@ -97,4 +97,45 @@ def derived_delta(delta_deg: Column, arc: Column, chord: Column, radius: Column)
     return F.coalesce(F.radians(delta_deg), F.try_divide(arc, radius), F.when(half.between(0.0, 1.0), 2 * F.asin(half)))
 
 
+def azimuth_value(deg: Column, minute: Column, sec: Column) -> Column:
+    """Struct ``azimuth, error`` of an azimuth in parts; 360 is 0."""
+    az = dms(deg, minute, sec)
+    bad = az.isNull() | (az < 0) | (az > 360)
+    return F.struct(F.when(~bad, normalize_azimuth(az)).alias("azimuth"), F.when(bad, "BAD_BEARING_FORMAT").alias("error"))
+
+
+def half_turn(theta: Column) -> Column:
+    """Radians into [-pi, pi)."""
+    return F.pmod(theta + math.pi, F.lit(TWO_PI)) - math.pi
+
+
+def line_end(x: Column, y: Column, az: Column, dist: Column) -> Column:
+    """Struct ``x, y, error``: the end of a line, whose distance must be positive."""
+    dx, dy = offsets(az, dist)
+    good = dist > 0
+    return F.struct(F.when(good, x + dx).alias("x"), F.when(good, y + dy).alias("y"), F.when(~F.coalesce(good, F.lit(False)), "Distance must be positive for line computation").alias("error"))
+
+
+def curve_outcome(curve_type: Column, incoming: Column, radius: Column, handedness: Column, delta: Column, arc: Column, chord: Column, anchored: Column) -> Column:
+    """Struct ``delta, error``: the central angle in radians, or why a curve can't be computed.
+
+    A tangent curve needs the azimuth it comes in by; every curve a radius, a side and
+    something that gives the angle (``delta`` in degrees), and one that isn't tangent an anchor.
+    """
+    incomplete, ratio = F.lit("CURVE_INCOMPLETE"), F.try_divide(chord, 2 * radius)
+    angle_error = (
+        F.when(delta.isNotNull(), F.when(delta <= 0, incomplete))
+        .when(arc.isNotNull(), F.when((arc <= 0) | (radius <= 0), incomplete))
+        .when(chord.isNotNull(), F.when((chord <= 0) | (radius <= 0), incomplete).when(ratio > 1, "CURVE_PARAM_MISMATCH"))
+        .otherwise(incomplete)
+    )
+    error = (
+        F.when(~curve_type.isin("tangent", "non_tangent"), "UNKNOWN_ELEMENT")
+        .when((curve_type == "tangent") & incoming.isNull(), "NEEDS_REFERENCE_GEOMETRY")
+        .when(radius.isNull() | (radius <= 0) | handedness.isNull(), incomplete).when(angle_error.isNotNull(), angle_error)
+        .when((curve_type == "non_tangent") & ~F.coalesce(anchored, F.lit(False)), "NON_TANGENT_AMBIGUITY")
+    )
+    return F.struct(F.when(error.isNull(), derived_delta(delta, arc, chord, radius)).alias("delta"), error.alias("error"))
+
+
 TWO_PI = 2 * math.pi

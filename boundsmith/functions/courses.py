@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundsmith.functions.bearings import lookup
-from boundsmith.functions.text import repair_bearings
+from boundsmith.functions.text import extract, matches, repair_bearings
 
 # The pattern of a quadrant bearing and of a line course around it.
 BEARING = r"(NORTH|SOUTH|N|S)\s*(\d{1,3})\s*°\s*(\d{1,2})\s*'\s*(?:(\d{1,2}(?:\.\d+)?)\s*\"?)?\s*,?\s*(EAST|WEST|E|W)\b"
@@ -35,49 +34,61 @@ CONCAVE = r"(?iU)\bCONCAVE\s+((?:NORTH|SOUTH)(?:EAST|WEST)?ERLY|(?:EAST|WEST)ERL
 LETTER = {"NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "N": "N", "S": "S", "E": "E", "W": "W"}
 
 
-def _got(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+#: The parts of a matched slice: bearing, then the distance at its end.
+PARTS = r"(?iU)^" + BEARING + r"(?s:.*?)(\d+(?:\.\d+)?)\s*(?:feet|foot|ft)?$"
 
 
-def _first(text: Column) -> Column:
-    """The slice of the tightest pattern that matches."""
-    return F.coalesce(*[_got(text, p) for p in (CLEAN, NARRATIVE, DEED)])
+def _got(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def line_match(text: Column) -> Column:
-    """The slice that a line course occupies; null if there is none.
+def _with_match(df: DataFrame, text: str, out: str, plain: Column | None) -> DataFrame:
+    """Adds the slice of the tightest pattern that matches, null if none does.
 
-    Patterns are tried from the tightest to the loosest, then on repaired text.
-    :func:`with_line` computes the same in steps, for use on whole tables.
+    Each pattern has a projection of its own and runs only where the tighter ones
+    failed; a text without degree sign is never searched.
     """
-    fixed = repair_bearings(text)
-    return F.trim(F.coalesce(_first(text), F.when(fixed != text, _first(fixed))))
+    t = F.col(text)
+    df = df.withColumn(out, F.when(t.contains("°"), extract(t, CLEAN, 0, plain)))
+    for pattern in (NARRATIVE, DEED):
+        df = df.withColumn(out, F.when(F.col(out) == "", extract(t, pattern, 0, plain)).otherwise(F.col(out)))
+    return df.withColumn(out, F.nullif(out, F.lit("")))
 
 
-def line_of(match: Column) -> Column:
-    """Struct ``raw, ns, deg, minute, sec, ew, dist, valid`` of a matched slice."""
-    at = "(?iU)^" + BEARING
-    deg, minute = (_got(match, at, g).cast("int") for g in (2, 3))
-    sec = F.coalesce(_got(match, at, 4).cast("double"), F.lit(0.0))
-    dist = _got(match, TAIL, 1).cast("double")
-    return F.when(
-        match.isNotNull(),
+def with_line(df: DataFrame, text: str, out: str, plain: Column | None = None) -> DataFrame:
+    """Adds struct ``raw, ns, deg, minute, sec, ew, dist, valid`` of the line course in ``text``, null if there is none.
+
+    Patterns are tried on the text and then on the repaired text.  Matching, repairing
+    and cutting the parts have projections of their own, so that no plan evaluates
+    a pattern twice, and repairs run only where they are needed.
+    """
+    df = _with_match(df, text, "__plain", plain)
+    df = df.withColumn("__fixed", F.when(F.col("__plain").isNull(), repair_bearings(F.col(text))))
+    df = df.withColumn("__fixed", F.when(F.col("__fixed") != F.col(text), F.col("__fixed")))
+    df = _with_match(df, "__fixed", "__again", plain)
+    df = df.withColumn("__match", F.trim(F.coalesce("__plain", "__again")))
+    told = F.col("__match")
+    full = F.regexp_replace(told, PARTS, "$1|$2|$3|$4|$5|$6")
+    cut = full if plain is None else F.when(plain, F.regexp_replace(told, PARTS.replace("(?iU)", "(?i)"), "$1|$2|$3|$4|$5|$6")).otherwise(full)
+    df = df.withColumn("__parts", F.split(cut, r"\|"))
+    part = lambda k: F.col("__parts")[k]
+    letter = lambda k: F.upper(F.substring(part(k), 1, 1))
+    df = df.withColumn(
+        out,
         F.struct(
-            match.alias("raw"),
-            lookup(F.upper(_got(match, at, 1)), LETTER).alias("ns"),
-            deg.alias("deg"),
-            minute.alias("minute"),
-            sec.alias("sec"),
-            lookup(F.upper(_got(match, at, 5)), LETTER).alias("ew"),
-            dist.alias("dist"),
-            (deg.between(0, 360) & (minute < 60) & (sec < 60) & (dist > 0)).alias("valid"),
+            told.alias("raw"), letter(0).alias("ns"), part(1).cast("int").alias("deg"), part(2).cast("int").alias("minute"),
+            F.when(part(3) == "", 0.0).otherwise(part(3).cast("double")).alias("sec"), letter(4).alias("ew"), part(5).cast("double").alias("dist"),
         ),
-    )
+    )
+    got = F.col(out)
+    valid = got["deg"].between(0, 360) & (got["minute"] < 60) & (got["sec"] < 60) & (got["dist"] > 0)
+    return df.withColumn(out, F.when(told.isNotNull(), got.withField("valid", valid))).drop("__plain", "__fixed", "__again", "__match", "__parts")
 
 
-def has_bearing(text: Column) -> Column:
+def has_bearing(text: Column, plain: Column | None = None) -> Column:
     pattern = "(?iU)" + BEARING
-    return text.rlike(pattern) | repair_bearings(text).rlike(pattern)
+    marked = text.contains("°") | text.contains('"')
+    return marked & (matches(text, pattern, plain) | matches(repair_bearings(text), pattern, plain))
 
 
 def curve_of(text: Column) -> Column:
@@ -101,7 +112,9 @@ def curve_of(text: Column) -> Column:
 
 
 def is_reference_tie(text: Column) -> Column:
-    return ~F.upper(F.trim(text)).startswith("THENCE") & text.rlike("(?iU)" + TIE_PHRASES)
+    # Every phrase holds FROM, so most clauses aren't searched.
+    upper = F.upper(text)
+    return upper.contains("FROM") & ~F.ltrim(upper).startswith("THENCE") & text.rlike("(?iU)" + TIE_PHRASES)
 
 
 def has_tie_keyword(text: Column) -> Column:
@@ -111,7 +124,7 @@ def has_tie_keyword(text: Column) -> Column:
 def starts_before_beginning(text: Column) -> Column:
     """A COMMENCING preamble stands before the first THENCE."""
     preamble = F.split(text, r"(?iU)\bTHENCE\b", 2)[0]
-    return preamble.rlike(r"(?iU)\bCOMMENCING\b")
+    return F.upper(text).contains("COMMENC") & preamble.rlike(r"(?iU)\bCOMMENCING\b")
 
 
 def note_type(text: Column) -> Column:
@@ -139,16 +152,3 @@ def effective_distance(text: Column, direction: Column, dist: Column) -> Column:
     between = F.when(token > begin, F.substring(upper, begin, token - begin)).otherwise(F.lit(""))
     offset = between.contains("DISTANT") | between.contains("TO A ") | between.contains("TO THE ")
     return F.when((at > 0) & (token > 0) & offset, None).otherwise(dist)
-
-
-def with_line(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the line struct.
-
-    Matching, repairing and matching again have projections of their own, so that
-    no expression repeats another and repairs run only where they are needed.
-    """
-    df = df.withColumn("__plain", _first(F.col(text)))
-    df = df.withColumn("__fixed", F.when(F.col("__plain").isNull(), repair_bearings(F.col(text))))
-    again = F.when(F.col("__fixed") != F.col(text), _first(F.col("__fixed")))
-    df = df.withColumn("__match", F.trim(F.coalesce("__plain", again)))
-    return df.withColumn(out, line_of(F.col("__match"))).drop("__plain", "__fixed", "__match")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Look-alike characters and the words that stand for marks.
-_LOOKALIKES = "‘’“”º˚–—"
+LOOKALIKES = "‘’“”º˚–—"
 _PLAIN = "''\"\"°°--"
 _MARK_WORDS = ((r"(?iU)\bDEGREES?\b", "°"), (r"(?iU)\bMINUTES?\b", "'"), (r"(?iU)\bSECONDS?\b", '"'))
 _TIGHT = ((r"(?U)(?<=\d)\s+°", "°"), (r"(?U)°\s+(?=\d)", "°"), (r"(?U)(?<=\d)\s+'", "'"), (r"(?U)'\s+(?=\d)", "'"), (r'(?U)(?<=\d)\s+"', '"'))
@@ -23,21 +23,59 @@ _REPAIRS = (
 )
 
 
-def _chain(text: Column, steps: tuple) -> Column:
+def is_plain(text: Column) -> Column:
+    """ASCII but for degree signs: there, patterns need no tables of Unicode classes."""
+    return ~text.rlike(r"[^\x00-\x7F°]")
+
+
+def _quick(pattern: str) -> str:
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("(?sU)", "(?s)")
+
+
+def extract(text: Column, pattern: str, group: int = 0, plain: Column | None = None) -> Column:
+    """``regexp_extract``; with ``plain`` told, by the cheaper pattern where it gives the same."""
+    full = F.regexp_extract(text, pattern, group)
+    return full if plain is None else F.when(plain, F.regexp_extract(text, _quick(pattern), group)).otherwise(full)
+
+
+def matches(text: Column, pattern: str, plain: Column | None = None) -> Column:
+    full = text.rlike(pattern)
+    return full if plain is None else F.when(plain, text.rlike(_quick(pattern))).otherwise(full)
+
+
+def _chain(text: Column, steps: tuple, plain: bool = False) -> Column:
     for pattern, to in steps:
-        text = F.regexp_replace(text, pattern, to)
+        text = F.regexp_replace(text, _quick(pattern) if plain else pattern, to)
     return text
 
 
-def normalize(text: Column) -> Column:
-    """Plain marks, degree words as marks, single spaces; null gives ''."""
-    text = F.translate(F.coalesce(text, F.lit("")), _LOOKALIKES, _PLAIN)
-    return F.trim(F.regexp_replace(_chain(text, _MARK_WORDS + _TIGHT), r"(?U)\s+", " "))
+def normalize(text: Column, plain: bool = False) -> Column:
+    """Plain marks, degree words as marks, single spaces; null gives ''.
+
+    ``plain`` tells that the text is plain once look-alikes are replaced.
+    """
+    text = F.translate(F.coalesce(text, F.lit("")), LOOKALIKES, _PLAIN)
+    return F.trim(F.regexp_replace(_chain(text, _MARK_WORDS + _TIGHT, plain), r"\s+" if plain else r"(?U)\s+", " "))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Structs ``start, end, value`` of all matches, from the lengths of them and of what lies between."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def step(done: Column, value: Column) -> Column:
+        at = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)) + F.length(F.get(gaps, F.size(done)))
+        return F.concat(done, F.array(F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value"))))
+
+    return F.aggregate(found, F.array().cast("array<struct<start:int,end:int,value:string>>"), step)
 
 
 def repair_bearings(text: Column) -> Column:
-    """OCR repairs inside bearings; clean text stays as it is."""
-    return _chain(text, _REPAIRS)
+    """OCR repairs inside bearings; clean text stays as it is.
+
+    Every repair needs a degree sign, a double quote, or a number with a comma.
+    """
+    marked = text.contains("°") | text.contains('"')
+    return F.when(marked, _chain(text, _REPAIRS)).otherwise(F.when(text.contains(","), _chain(text, _REPAIRS[-1:])).otherwise(text))
 
 
 def clean_label(text: Column) -> Column:
@@ -47,7 +85,7 @@ def clean_label(text: Column) -> Column:
 
 def normalize_loose(text: Column) -> Column:
     """Quotes, dashes and white space only, as the older dialect does first."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _LOOKALIKES, _PLAIN), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), LOOKALIKES, _PLAIN), r"(?U)\s+", " "))
 
 
 def bearing_text(ns: Column, deg: Column, minute: Column, sec: Column, ew: Column) -> Column:

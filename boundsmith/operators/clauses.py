@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boundsmith.functions import courses as C
-from boundsmith.functions.text import normalize
+from boundsmith.functions.text import LOOKALIKES, is_plain, matches, normalize
 
 
 def _by_doc():
@@ -23,41 +23,47 @@ def _starts(pieces: Column, gap: int) -> Column:
 
 
 def split_clauses(docs: DataFrame) -> DataFrame:
-    """``doc_id, before_pob, seg, part, clause, span_start, span_end`` (into normalised text)."""
-    norm = docs.select("doc_id", normalize(F.col("source_text")).alias("norm"))
-    segs = norm.select("doc_id", C.starts_before_beginning(F.col("norm")).alias("before_pob"), F.split("norm", ";").alias("pieces"))
-    segs = segs.select("doc_id", "before_pob", F.posexplode(F.arrays_zip("pieces", _starts(F.col("pieces"), 1).alias("at"))).alias("seg", "p"))
-    segs = segs.select("doc_id", "before_pob", "seg", F.col("p.pieces").alias("raw"), F.col("p.at").alias("at"))
+    """``doc_id, before_pob, plain, seg, part, clause, span_start, span_end`` (into normalised text)."""
+    raw = docs.select("doc_id", "source_text", is_plain(F.translate("source_text", LOOKALIKES, "")).alias("plain"))
+    source = F.col("source_text")
+    norm = raw.select("doc_id", "plain", F.when(F.col("plain"), normalize(source, True)).otherwise(normalize(source)).alias("norm"))
+    segs = norm.select("doc_id", "plain", C.starts_before_beginning(F.col("norm")).alias("before_pob"), F.split("norm", ";").alias("pieces"))
+    segs = segs.select("doc_id", "before_pob", "plain", F.posexplode(F.arrays_zip("pieces", _starts(F.col("pieces"), 1).alias("at"))).alias("seg", "p"))
+    segs = segs.select("doc_id", "before_pob", "plain", "seg", F.col("p.pieces").alias("raw"), F.col("p.at").alias("at"))
     segs = segs.withColumn("body", F.trim(F.regexp_replace(F.trim("raw"), r"\.+$", ""))).where("body <> ''")
     segs = segs.withColumn("at", F.col("at") + F.instr("raw", F.col("body")) - 1)
-    segs = segs.withColumn("parts", F.split("body", r"(?iU)(?=\bTHENCE\b)"))
+    # Only a THENCE behind the first character cuts anything.
+    inner = F.upper(F.substring("body", 2, 2**31 - 1)).contains("THENCE")
+    cut = F.when(F.col("plain"), F.split("body", r"(?i)(?=\bTHENCE\b)")).otherwise(F.split("body", r"(?iU)(?=\bTHENCE\b)"))
+    segs = segs.withColumn("parts", F.when(inner, cut).otherwise(F.array("body")))
     parts = segs.select(
-        "doc_id", "before_pob", "seg", "at", F.size("parts").alias("n"), F.posexplode(F.arrays_zip("parts", _starts(F.col("parts"), 0).alias("off"))).alias("part", "p")
+        "doc_id", "before_pob", "plain", "seg", "at", F.size("parts").alias("n"), F.posexplode(F.arrays_zip("parts", _starts(F.col("parts"), 0).alias("off"))).alias("part", "p")
     )
     raw = F.col("p.parts")
     tidy = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(raw), ",+$", ""), r"\.+$", ""), ";+$", ""))
     out = parts.withColumn("clause", F.when(F.col("n") > 1, tidy).otherwise(raw)).where("clause <> ''")
     start = F.col("at") + F.col("p.off") + F.instr(raw, F.col("clause")) - 1
-    out = out.select("doc_id", "before_pob", "seg", "part", "clause", start.alias("span_start"))
+    out = out.select("doc_id", "before_pob", "plain", "seg", "part", "clause", start.alias("span_start"))
     return out.withColumn("span_end", F.col("span_start") + F.length("clause"))
 
 
 def rejoin_fragments(clauses: DataFrame) -> DataFrame:
     """A bearing whose distance fell behind a stray ``;`` gets it back; adds ``line``."""
-    rows = C.with_line(clauses, "clause", "line").withColumns(
-        {"__b": C.has_bearing(F.col("clause")), "__t": F.col("clause").rlike(r"(?iU)\bTHENCE\b"), "__f": F.col("clause").rlike(C.FEET)}
-    )
+    plain = F.col("plain")
+    rows = C.with_line(clauses, "clause", "line", plain)
+    rows = rows.withColumn("__b", F.col("line").isNotNull() | C.has_bearing(F.col("clause"), plain))
 
     def after(c: str) -> Column:
         return F.lead(c).over(_by_doc())
 
-    rows = rows.withColumns({"__next": after("clause"), "__nb": after("__b"), "__nt": after("__t"), "__nf": after("__f"), "__ne": after("span_end")})
-    wants = F.col("__b") & F.col("line").isNull() & ~F.col("__nt") & ~F.col("__nb") & F.col("__nf")
-    rows = rows.withColumn("__joined", F.when(wants, F.concat_ws(" ", "clause", "__next")))
-    rows = C.with_line(rows, "__joined", "__line").withColumn("__merged", F.col("__line").isNotNull())
+    rows = rows.withColumns({"__next": after("clause"), "__nb": after("__b"), "__ne": after("span_end")})
+    next_ = F.col("__next")
+    wants = F.col("line").isNull() & F.col("__b") & ~F.col("__nb")
+    rows = rows.withColumn("__joined", F.when(wants, F.when(~matches(next_, r"(?iU)\bTHENCE\b", plain) & matches(next_, C.FEET, plain), F.concat_ws(" ", "clause", "__next"))))
+    rows = C.with_line(rows, "__joined", "__line", plain).withColumn("__merged", F.col("__line").isNotNull())
     rows = rows.withColumn("__eaten", F.coalesce(F.lag("__merged").over(_by_doc()), F.lit(False))).where(~F.col("__eaten"))
     return rows.select(
-        "doc_id", "before_pob", "seg", "part",
+        "doc_id", "before_pob", "plain", "seg", "part",
         F.when(F.col("__merged"), F.col("__joined")).otherwise(F.col("clause")).alias("clause"),
         "span_start",
         F.when(F.col("__merged"), F.col("__ne")).otherwise(F.col("span_end")).alias("span_end"),
@@ -69,12 +75,13 @@ def rejoin_fragments(clauses: DataFrame) -> DataFrame:
 def classify(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, clause, span_start, span_end, kind, line, curve, rejoined``."""
     rows = rejoin_fragments(split_clauses(docs))
+    text = F.col("clause")
+    rows = rows.withColumn("tie", C.has_tie_keyword(text) | C.is_reference_tie(text))
     rows = rows.withColumns(
         {
-            "tie": C.has_tie_keyword(F.col("clause")) | C.is_reference_tie(F.col("clause")),
-            "curve": F.when(F.col("line").isNull(), C.curve_of(F.col("clause"))),
-            "pob": F.col("clause").rlike(C.POINT_OF_BEGINNING),
-            "feet": F.col("clause").rlike(C.FEET),
+            "curve": F.when(F.col("line").isNull(), C.curve_of(text)),
+            "pob": F.upper(text).contains("BEG") & text.rlike(C.POINT_OF_BEGINNING),
+            "feet": F.when(F.col("tie"), text.rlike(C.FEET)),
         }
     )
     flipped = F.coalesce(F.max(F.col("pob") & ~F.col("tie")).over(_by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boundsmith.functions.bearings import lookup
-from boundsmith.functions.courses import line_match, line_of, with_line
+from boundsmith.functions.courses import with_line
 from boundsmith.functions.text import normalize
 
 # Words for sides and cardinal directions.
@@ -35,15 +35,14 @@ def _number(text: Column, label: str) -> tuple[Column, Column]:
     return value, error
 
 
-def manual_line(direction: Column, distance: Column, line: Column | None = None) -> Column:
+def manual_line(direction: Column, distance: Column, line: Column) -> Column:
     """Struct ``azimuth, ns, deg, minute, sec, ew, dist, error`` of typed cells.
 
-    ``line`` is the parsed bearing, where a column holds it already.
+    ``line`` is the course parsed from both cells.
     """
     word = F.upper(normalize(direction))
     azimuth = lookup(word, CARDINAL_AZIMUTH)
     dist, wrong = _number(distance, "distance")
-    line = line_of(line_match(F.concat(normalize(direction), F.lit(" "), distance))) if line is None else line
     error = F.when(direction == "", "missing direction").otherwise(
         F.coalesce(wrong, F.when(azimuth.isNull() & line.isNull(), F.concat(F.lit("could not parse bearing: '"), direction, F.lit("'"))))
     )
@@ -101,17 +100,20 @@ def manual_curve(direction: Column, radius: Column, delta: Column, arc: Column,
     return F.struct(F.when(ok, side).alias("handedness"), F.when(ok, r).alias("radius"), *parts, F.when(ok, a).alias("arc"), error.alias("error"))
 
 
-def is_blank() -> Column:
-    return reduce(lambda a, b: a & b, [cell(c) == "" for c in CELLS])
+def is_blank(cells: tuple[str, ...] = CELLS) -> Column:
+    return reduce(lambda a, b: a & b, [cell(c) == "" for c in cells])
 
 
 def calls_from_rows(rows: DataFrame, all_or_nothing: bool = False) -> DataFrame:
     """Typed rows ``doc_id, row_no, <cells>`` to calls or ``Row n: …`` messages.
 
-    Blank rows are skipped.  With ``all_or_nothing`` one error empties a document.
+    Blank rows are skipped.  With ``all_or_nothing`` one error empties a document, a row
+    is blank whatever its id and type, and a blank type is a line.
     """
-    rows = rows.where(~is_blank()).withColumns({c: cell(c) for c in CELLS})
+    rows = rows.where(~is_blank(CELLS[2:] if all_or_nothing else CELLS)).withColumns({c: cell(c) for c in CELLS})
     kind = F.lower("type")
+    if all_or_nothing:
+        kind = F.when(kind == "", "line").otherwise(kind)
     number = F.coalesce(F.nullif(F.col("row_no").try_cast("int"), F.lit(0)), F.row_number().over(Window.partitionBy("doc_id").orderBy("row_no")))
     rows = rows.withColumns({"kind": kind, "number": number})
     # Parsed pieces get projections of their own, so that no expression repeats them.
