@@ -5,12 +5,14 @@ It never runs unless asked for; the default dialect is in ``clauses``.
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boundsmith.functions import bearings as B
 from boundsmith.functions.courses import LETTER
+from boundsmith.functions.text import spans
 from boundsmith.operators.tables import CARDINAL_AZIMUTH
 
 # Look-alikes and marks that this dialect repairs.
@@ -28,12 +30,21 @@ AZIMUTH = rf"(?i)^\s*(\d{{1,3}})\s*°\s*(\d{{1,2}})\s*'\s*(\d{{1,2}}(?:\.\d+)?)\
 CURVE = rf"(?i)\bCURVE(?:\s+TO\s+THE)?\s+(RIGHT|LEFT)\b.*?\bRADIUS\s+(?:OF\s+)?{_NUM}\s*(?:FEET|FOOT|FT)\b"
 CURVE_ARC = rf"(?i)\bARC(?:\s+LENGTH)?(?:\s+OF)?\s+{_NUM}\s*(?:FEET|FOOT|FT)\b"
 CURVE_ANGLE = r"(?i)\b(?:CENTRAL\s+ANGLE|DELTA)(?:\s+OF)?\s+(\d{1,3})\s*°\s*(\d{1,2})\s*'\s*(?:(\d{1,2}(?:\.\d+)?)\s*\"?)?"
-WORDY = rf"(?i)^\s*(NORTH|SOUTH|EAST|WEST)\s+(?:a\s+distance\s+of\s+)?{_NUM}\s*(?:feet|foot|ft)\b"
-ARC_ONLY = rf"(?i)\bARC\b.*?{_NUM}\s*(?:FEET|FOOT|FT)\b"
+_STATED = r"(?=\s+TO\b|[,;.]|$)"
+WORDY = rf"(?i)^\s*(NORTH|SOUTH|EAST|WEST)\s*,?\s+{_NUM}\s*(?:FEET|FOOT|FT)?{_STATED}"
+ARC_ONLY = rf"(?is)(?:ALONG\s+)?A\s+CURVE\s+TO\s+THE\s+(?:RIGHT|LEFT).*?\bARC(?:\s+LENGTH)?(?:\s+OF)?\s+{_NUM}\s+FEET{_STATED}"
+PROSE_QUADRANT = rf"(?i)(?:THENCE|BEING|FROM|THEN)\s+(NORTH|SOUTH)\s+(\d+)\s*°\s*(?:(\d+)\s*'?\s*)?(?:(\d+)\s*['\"]?\s*)?(EAST|WEST).*?{_NUM}"
+# The courses of prose, pass by pass.
+PROSE_COURSE = rf"(?is)THENCE\s+(NORTH|SOUTH)\s+(\d{{1,3}})\s*(?:DEGREES?\s+|°)\s*(\d{{1,2}})\s*['\"]\s*(?:(\d{{1,2}}(?:\.\d+)?)\s*\"\s*)?(EAST|WEST).*?{_NUM}\s+FEET{_STATED}"
+PROSE_POINT = rf"(?i)(NORTH|SOUTH)\s+(\d{{1,3}})\s*(?:DEGREES?\s+|°)\s*(\d{{1,2}})\s*['\"]\s*(\d{{1,2}}(?:\.\d+)?)\s*\"\s*(EAST|WEST)[,\s]+{_NUM}\s+FEET\s+TO\s+A\s+POINT"
+PROSE_CARDINAL = rf"(?i)THENCE\s+(EAST|WEST|NORTH|SOUTH)\s+{_NUM}\s+FEET{_STATED}"
+PROSE_CURVE = rf"(?is)THENCE\s+(?:ALONG\s+)?A\s+CURVE\s+TO\s+THE\s+(?:RIGHT|LEFT).*?\bARC(?:\s+LENGTH)?(?:\s+OF)?\s+{_NUM}\s+FEET{_STATED}"
+PROSE_OTHER = r"(?i)\bTHENCE\b"
+DESCRIBES = "FROM THE|AS MEASURED|ALONG"
 SILENT = r"(?i)BEGINNING|COMMENCING|TRACT|RECORDED|OFFICIAL RECORDS|COUNTY|LOT|SECTION"
 TO_BEGINNING = r"(?i)\bTO\s+THE\s+(?:TRUE\s+)?POINT\s+OF\s+BEGINNING\b"
 TIE_BEARING = r"(?is)SAID\s+POINT\s+BEING\s+(NORTH|SOUTH)\s+(\d{1,3})\s*°\s*(\d{1,2})\s*['\"]\s*(\d{1,2}(?:\.\d+)?)\s*\"\s+(EAST|WEST)[,\s]+(\d+(?:\.\d+)?)\s+FEET?\s+FROM\s+(.+?)(?=;|\.|,\s*THENCE|$)"
-TIE_ALONG = r"(?is)(\d+(?:\.\d+)?)\s+FEET?\s+((?:NORTH|SOUTH)(?:EAST|WEST)?ERLY|(?:EAST|WEST)ERLY)[,\s]+AS\s+MEASURED\s+ALONG\s+([^,]+?)\s+FROM\s+(.+?)(?=;|\.|,\s*SAID|$)"
+TIE_ALONG = r"(?is)(\d+(?:\.\d+)?)\s+FEET?\s+((?:NORTH|SOUTH)(?:EAST|WEST)?ERLY|(?:EAST|WEST)ERLY)[,\s]+AS\s+MEASURED\s+ALONG\s+([^,]+?)\s+FROM\s+(.+?)(?=;|\.|,\s*SAID|\d+(?:\.\d+)?\s+FEET|$)"
 CLOSE_TOLERANCE = 0.01
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029;]"
 # Several compact calls in a piece are cut before each; a quadrant in words is narrative.
@@ -58,19 +69,75 @@ def _got(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def with_prose(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``prose``: the courses of a text in prose, one a line, in the order of the passes that find them.
+
+    Bearings after THENCE, bearings to a point, cardinals, curves, and last whatever
+    else follows a THENCE.  A later pass takes nothing that begins inside a course of the first.
+    Each pass has a column of its own, so that no pattern is searched twice.
+    """
+    upper = F.upper(text)
+    plain = F.when(upper.contains("THENCE") | upper.contains("TO A POINT"), F.trim(F.regexp_replace(text, r"\s+", " ")))
+    passes = {"__courses": PROSE_COURSE, "__points": PROSE_POINT, "__cardinals": PROSE_CARDINAL, "__curves": PROSE_CURVE, "__others": PROSE_OTHER}
+    docs = docs.withColumn("__t", plain).withColumns({name: spans(F.col("__t"), pattern) for name, pattern in passes.items()})
+    t, courses, points, cardinals, curves, others = (F.col(c) for c in ("__t", *passes))
+
+    def outside(m: Column, *known: Column) -> Column:
+        inside = [F.exists(k, lambda c: (c["start"] <= m["start"]) & (m["start"] <= c["end"])) for k in known]
+        return ~reduce(lambda a, b: a | b, inside)
+
+    def bearing(pattern: str):
+        def line(m: Column) -> Column:
+            v, part = m["value"], lambda g: F.regexp_extract(m["value"], pattern, g)
+            sec = F.coalesce(_got(v, pattern, 4), F.lit("0"))
+            return F.concat(F.upper(F.substring(part(1), 1, 1)), part(2), F.lit("°"), part(3), F.lit("'"), sec, F.lit('" '), F.upper(F.substring(part(5), 1, 1)), F.lit(" "), part(6), F.lit(" FT"))
+
+        return line
+
+    def stands(m: Column) -> Column:
+        """The clause around a bearing to a point states a course, and doesn't describe something else."""
+        before = F.substring_index(F.substring(t, F.lit(1), m["start"]), ";", -1)
+        clause = F.upper(F.concat(before, m["value"], F.substring_index(F.substring(t, m["end"] + 1, F.length(t)), ";", 1)))
+        return ~clause.rlike(DESCRIBES) | clause.contains("SAID POINT BEING")
+
+    def rest(m: Column) -> Column:
+        after = F.substring(t, m["end"] + 1, F.length(t))
+        return F.trim(F.substring_index(F.split(after, PROSE_OTHER, 2)[0], ";", 1))
+
+    cardinal = lambda m: F.concat(F.upper(F.substring(F.regexp_extract(m["value"], PROSE_CARDINAL, 1), 1, 1)), F.lit(" "), F.regexp_extract(m["value"], PROSE_CARDINAL, 2), F.lit(" FT"))
+    lines = F.filter(
+        F.concat(
+            F.transform(courses, bearing(PROSE_COURSE)),
+            F.transform(F.filter(points, lambda m: outside(m, courses) & stands(m)), bearing(PROSE_POINT)),
+            F.transform(F.filter(cardinals, lambda m: outside(m, courses)), cardinal),
+            F.transform(F.filter(curves, lambda m: outside(m, courses)), lambda m: F.regexp_replace(m["value"], r"(?i)^THENCE\s+", "")),
+            F.transform(F.filter(others, lambda m: outside(m, courses, cardinals, curves)), rest),
+        ),
+        lambda line: line != "",
+    )
+    return docs.withColumn("prose", lines).drop("__t", *passes)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, line``: lines, ``;`` pieces and compact calls, bare of THENCE and end marks."""
+    """``doc_id, pos, line, told``: lines, ``;`` pieces and compact calls, bare of THENCE and end marks.
+
+    Where a text has courses in prose, those are its lines.  ``told`` still has what
+    stands before a bearing.
+    """
     text = F.regexp_replace(cleaned(F.col("source_text")), r"\r\n", "\n")
+    docs = with_prose(docs.select("doc_id", text.alias("t")), "t")
 
     def cut(piece: Column) -> Column:
         compact = piece.contains("°") & ~F.upper(piece).contains("THENCE") & ~piece.rlike(WORDS_QUADRANT)
         return F.when(compact, F.split(piece, COMPACT_START)).otherwise(F.array(piece))
 
-    pieces = F.flatten(F.transform(F.split(text, LINE_BREAK), lambda piece: cut(F.trim(piece))))
+    lines = F.when(F.size("prose") > 0, F.flatten(F.transform("prose", lambda x: F.split(x, ";")))).otherwise(F.split("t", LINE_BREAK))
+    pieces = F.filter(F.flatten(F.transform(lines, lambda piece: cut(F.trim(piece)))), lambda x: F.trim(x) != "")
     parts = docs.select("doc_id", F.posexplode(pieces).alias("pos", "raw"))
-    line = F.regexp_replace(F.trim("raw"), r"[;,.]+$", "")
+    told = F.regexp_replace(F.trim("raw"), r"(?i)^thence ", "")
+    line = F.regexp_replace(F.trim(told), r"[;,.]+$", "")
     line = F.trim(F.regexp_replace(F.regexp_replace(line, r"(?i)\bTHENCE\b", ""), r"\s+", " "))
-    return parts.select("doc_id", (F.col("pos") + 1).alias("pos"), line.alias("line")).where("line <> ''")
+    return parts.select("doc_id", (F.col("pos") + 1).alias("pos"), line.alias("line"), told.alias("told")).where("line <> ''")
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -85,26 +152,30 @@ def parse(docs: DataFrame) -> DataFrame:
         B.lookup(F.upper(_got(c, QUADRANT, 1)), LETTER), B.lookup(F.upper(_got(c, QUADRANT, 5)), LETTER),
         B.dms(_got(c, QUADRANT, 2), F.coalesce(_got(c, QUADRANT, 3), F.lit("0")), F.coalesce(_got(c, QUADRANT, 4), F.lit("0"))),
     )
+    prose = B.quadrant_azimuth(
+        F.upper(F.substring(_got(F.col("told"), PROSE_QUADRANT, 1), 1, 1)), F.upper(F.substring(_got(F.col("told"), PROSE_QUADRANT, 5), 1, 1)),
+        B.dms(_got(F.col("told"), PROSE_QUADRANT, 2), F.coalesce(_got(F.col("told"), PROSE_QUADRANT, 3), F.lit("0")), F.coalesce(_got(F.col("told"), PROSE_QUADRANT, 4), F.lit("0"))),
+    )
     delta = B.dms(_got(c, CURVE_ANGLE, 1), _got(c, CURVE_ANGLE, 2), F.coalesce(_got(c, CURVE_ANGLE, 3), F.lit("0")))
     arc = _got(c, CURVE_ARC, 1).cast("double")
     kind = (
-        F.when(c.rlike(CARDINAL), "cardinal").when(c.rlike(QUADRANT), "quadrant").when(c.rlike(AZIMUTH), "azimuth")
+        F.when(c.rlike(CARDINAL), "cardinal").when(F.col("told").rlike(PROSE_QUADRANT), "prose").when(c.rlike(QUADRANT), "quadrant").when(c.rlike(AZIMUTH), "azimuth")
         .when(c.rlike(CURVE), F.when(delta.isNull() & arc.isNull(), "bad_curve").otherwise("curve"))
         .when(c.rlike(WORDY), "wordy").when(c.rlike(ARC_ONLY), "arc_only").when(c.rlike(SILENT), "silent").otherwise("unknown")
     )
     rows = chunks(docs).withColumn("kind", kind)
     own = (
-        F.when(F.col("kind").isin("cardinal", "wordy"), az_word).when(F.col("kind") == "quadrant", quad)
+        F.when(F.col("kind").isin("cardinal", "wordy"), az_word).when(F.col("kind") == "quadrant", quad).when(F.col("kind") == "prose", prose)
         .when(F.col("kind") == "azimuth", B.dms(_got(c, AZIMUTH, 1), _got(c, AZIMUTH, 2), _got(c, AZIMUTH, 3)))
     )
     rows = rows.withColumn("own", own)
     # Short cardinals and azimuths don't set the bearing that arcs follow.
-    carried = F.last(F.when(F.col("kind").isin("quadrant", "wordy"), F.col("own")), True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.last(F.when(F.col("kind").isin("quadrant", "prose", "wordy"), F.col("own")), True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("carried", carried)
     rows = rows.withColumn("kind", F.when((F.col("kind") == "arc_only") & F.col("carried").isNull(), F.when(c.rlike(SILENT), "silent").otherwise("unknown")).otherwise(F.col("kind")))
     dist = (
         F.when(F.col("kind") == "cardinal", _got(c, CARDINAL, 2)).when(F.col("kind") == "quadrant", _got(c, QUADRANT, 6)).when(F.col("kind") == "azimuth", _got(c, AZIMUTH, 4))
-        .when(F.col("kind") == "wordy", _got(c, WORDY, 2)).when(F.col("kind") == "arc_only", _got(c, ARC_ONLY, 1)).cast("double")
+        .when(F.col("kind") == "prose", _got(F.col("told"), PROSE_QUADRANT, 6)).when(F.col("kind") == "wordy", _got(c, WORDY, 2)).when(F.col("kind") == "arc_only", _got(c, ARC_ONLY, 1)).cast("double")
     )
     curve = F.col("kind") == "curve"
     error = (
@@ -153,6 +224,10 @@ def _narrative(docs: DataFrame) -> DataFrame:
     return line.unionByName(curve)
 
 
+def _monument(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), r"[.,]+$", "")
+
+
 def reference_ties(docs: DataFrame) -> DataFrame:
     """Both kinds of ties with their parts; each text gives all of its ties."""
     text = F.regexp_replace(cleaned(F.col("source_text")), r"\s+", " ")
@@ -161,15 +236,29 @@ def reference_ties(docs: DataFrame) -> DataFrame:
     bearing = rows.select("doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(TIE_BEARING), F.lit(0))).alias("n", "m")).select(
         "doc_id", "n", F.lit("bearing_from_monument").alias("kind"),
         B.quadrant_azimuth(F.substring(F.upper(_got(m, TIE_BEARING, 1)), 1, 1), F.substring(F.upper(_got(m, TIE_BEARING, 5)), 1, 1), B.dms(_got(m, TIE_BEARING, 2), _got(m, TIE_BEARING, 3), _got(m, TIE_BEARING, 4))).alias("azimuth"),
-        _got(m, TIE_BEARING, 6).cast("double").alias("dist"), F.lit(None).cast("string").alias("direction_word"), F.lit(None).cast("string").alias("along_feature"), F.trim(_got(m, TIE_BEARING, 7)).alias("from_monument"),
+        _got(m, TIE_BEARING, 6).cast("double").alias("dist"), F.lit(None).cast("string").alias("direction_word"), F.lit(None).cast("string").alias("along_feature"), _monument(_got(m, TIE_BEARING, 7)).alias("from_monument"),
     )
     along = rows.select("doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(TIE_ALONG), F.lit(0))).alias("n", "m")).select(
         "doc_id", "n", F.lit("linear_along_line").alias("kind"), F.lit(None).cast("double").alias("azimuth"), _got(m, TIE_ALONG, 1).cast("double").alias("dist"),
-        F.upper(_got(m, TIE_ALONG, 2)).alias("direction_word"), F.trim(_got(m, TIE_ALONG, 3)).alias("along_feature"), F.trim(_got(m, TIE_ALONG, 4)).alias("from_monument"),
+        F.upper(_got(m, TIE_ALONG, 2)).alias("direction_word"), F.trim(_got(m, TIE_ALONG, 3)).alias("along_feature"), _monument(_got(m, TIE_ALONG, 4)).alias("from_monument"),
     )
     return bearing.unionByName(along)
 
 
+def _rounded_quadrant(az: Column) -> Column:
+    """Struct ``ns, deg, minute, sec, ew`` with seconds to two places; a full minute or degree is carried."""
+    theta = F.when(az <= 90, az).when(az <= 180, 180 - az).when(az <= 270, az - 180).otherwise(360 - az)
+    deg = F.floor(theta)
+    minute = F.floor((theta - deg) * 60)
+    sec = F.round(((theta - deg) * 60 - minute) * 60, 2)
+    full = sec >= 59.9995
+    up = minute + full.cast("int")
+    return F.struct(
+        F.when((az <= 90) | (az > 270), "N").otherwise("S").alias("ns"), (deg + (up >= 60).cast("int")).cast("int").alias("deg"), (up % 60).cast("int").alias("minute"),
+        F.when(full, 0.0).otherwise(sec).alias("sec"), F.when(az <= 180, "E").otherwise("W").alias("ew"),
+    )
+
+
 def closing_calls(docs: DataFrame, calls: DataFrame) -> DataFrame:
     """The derived call back to the start, where the text says that it returns there.
 
@@ -179,7 +268,12 @@ def closing_calls(docs: DataFrame, calls: DataFrame) -> DataFrame:
     ends = calls.where("error is null").groupBy("doc_id").agg(F.coalesce(F.sum(dx), F.lit(0.0)).alias("x"), F.coalesce(F.sum(dy), F.lit(0.0)).alias("y"), F.count(F.lit(1)).alias("n"))
     says = docs.where(F.col("source_text").rlike(TO_BEGINNING)).select("doc_id")
     gap = ends.join(says, "doc_id").withColumn("dist", F.hypot("x", "y")).where(F.col("dist") > CLOSE_TOLERANCE)
-    az = F.pmod(F.degrees(F.atan2(-F.col("x"), -F.col("y"))), F.lit(360.0))
-    return gap.select("doc_id", F.concat(F.lit("L"), F.col("n") + 1, F.lit("_CLOSURE")).alias("id"), az.alias("azimuth"), "dist", F.lit("assumed").alias("basis"), F.lit(0.5).alias("confidence"))
+    gap = gap.withColumn("azimuth", F.pmod(F.degrees(F.atan2(-F.col("x"), -F.col("y"))), F.lit(360.0))).withColumn("q", _rounded_quadrant(F.col("azimuth")))
+    q = F.col("q")
+    bearing = F.concat(F.lit("[DERIVED] "), q["ns"], F.lit(" "), q["deg"], F.lit("°"), q["minute"], F.lit("'"), q["sec"], F.lit('" '), q["ew"])
+    return gap.select(
+        "doc_id", F.concat(F.lit("L"), F.col("n") + 1, F.lit("_CLOSURE")).alias("id"), "azimuth", "dist", F.lit("assumed").alias("basis"), F.lit(0.5).alias("confidence"),
+        bearing.alias("bearing_text"), F.concat(F.lit("[DERIVED] "), F.round("dist", 4).cast("string"), F.lit(" FT TO THE POINT OF BEGINNING")).alias("raw_text"), "q.ns", "q.deg", "q.minute", "q.sec", "q.ew",
+    )
 
 
