@@ -46,9 +46,10 @@ def dxf(points: Column, layer: str = "PARCEL") -> Column:
 
 
 def report_json(report: DataFrame) -> DataFrame:
-    """``doc_id, value``: each row's report as indented JSON."""
-    fields = [c for c in report.columns if c != "doc_id"]
-    return report.select("doc_id", F.to_json(F.struct(*fields), {"pretty": "true"}).alias("value"))
+    """``doc_id, value``: each document's report as indented JSON: closure, crossings, curve errors."""
+    closure = F.struct("dx", "dy", "misclosure", "perimeter", "precision")
+    curves = F.coalesce("curve_errors", F.create_map().cast("map<int,array<string>>"))
+    return report.select("doc_id", F.to_json(F.struct(closure.alias("closure"), F.col("hits").alias("intersections"), curves.alias("curve_errors")), {"pretty": "true"}).alias("value"))
 
 
 def projects(docs: DataFrame) -> DataFrame:

@@ -235,7 +235,7 @@ def test_ocr(spark):
 
 
 def test_older_dialect(spark):
-    df = docs(spark, "E 100\nTHENCE N 0°0'0\" E 50 feet\nALONG AN ARC 10 FEET\n90°0'0\" 20 feet\nCURVE TO THE RIGHT RADIUS OF 50 FEET ARC LENGTH OF 25 FEET\nRECORDED IN BOOK 3\njunk\nTO THE POINT OF BEGINNING")
+    df = docs(spark, "E 100\nN 0°0'0\" E 50 feet\nALONG A CURVE TO THE LEFT, AN ARC LENGTH OF 10 FEET\n90°0'0\" 20 feet\nCURVE TO THE RIGHT RADIUS OF 50 FEET ARC LENGTH OF 25 FEET\nRECORDED IN BOOK 3\njunk\nTO THE POINT OF BEGINNING")
     got = older.parse(df).orderBy("pos").collect()
     assert [r.kind for r in got] == ["cardinal", "quadrant", "arc_only", "azimuth", "curve", "unknown"]
     assert [r.azimuth for r in got[:4]] == [90.0, 0.0, 0.0, 90.0]
@@ -246,7 +246,7 @@ def test_older_dialect(spark):
 
 def test_older_dialect_compact_and_narrative(spark):
     df = docs(
-        spark, "N 10°0'0\" E 100 N 80°0'0\" E 50 EAST 20 feet", "E 100\r\nN 5\rW 7", "THENCE N 10°0'0\"\nE\n100 FEET ALONG A\nCURVE TO THE RIGHT HAVING A\nRADIUS OF 50 FEET AN\nARC LENGTH OF 25 FEET",
+        spark, "N 10°0'0\" E 100 N 80°0'0\" E 50 EAST 20 feet", "E 100\r\nN 5\rW 7", "N 10°0'0\"\nE\n100 FEET ALONG A\nCURVE TO THE RIGHT HAVING A\nRADIUS OF 50 FEET AN\nARC LENGTH OF 25 FEET",
         "NORTH 10°0'0\" EAST 100 feet", "junk",
     )
     got = {}
@@ -260,6 +260,20 @@ def test_older_dialect_compact_and_narrative(spark):
     assert [(r.kind, r.dist) for r in words] == [("quadrant", 100.0)] and junk[0].error.startswith("UNKNOWN_ELEMENT: line 1")
 
 
+def test_older_dialect_prose(spark):
+    """Where prose has courses, they are all the lines there are."""
+    df = docs(
+        spark, "E 100; THENCE N 10°0'0\"\nE\n100 FEET ALONG A CURVE; W 5", "THENCE NORTH 10 DEGREES 20 MINUTES EAST, ALONG IT, 30.5 FEET; THENCE EAST, 12 FEET TO A POINT",
+        "FROM NORTH 10°20'30 WEST to it 100.00", None, "",
+    )
+    got = {}
+    for r in older.parse(df).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.pos, r.kind, round(r.azimuth, 4), r.dist))
+    assert got == {
+        "d0": [(1, "quadrant", 10.0, 100.0)], "d1": [(1, "quadrant", 10.3333, 30.5), (2, "wordy", 90.0, 12.0)], "d2": [(1, "prose", round(360 - 10 - 20.5 / 60, 4), 100.0)],
+    }
+
+
 def test_exports(spark, tmp_path):
     g = G.build_geometry(calls(spark, "N 0°0'0\" E 10 FEET; N 90°0'0\" E 10 FEET"))
     assert '"LineString"' in g.select(writers.geojson(F.col("points")).alias("v")).first().v
@@ -298,3 +312,42 @@ def test_effective_distance(spark):
     assert d("THENCE WESTERLY ALONG THE LINE 52 FEET") == 52
     assert d("THENCE WESTERLY TO A POINT 52 FEET FROM") is None
     assert d("THENCE WESTERLY") is None
+
+
+# OCR ---------------------------------------------------------------------------
+
+def test_images_are_recognised_or_say_why_not(spark):
+    from boundsmith.operators import tables
+    from boundsmith.sources import ocr
+
+    class FakeProgram:
+        """Gives the words that stand in the bytes of the image, one a line."""
+
+        def text(self, content):
+            if content == b"broken":
+                raise RuntimeError("no image")
+            return content.decode()
+
+        def words(self, content):
+            found = self.text(content).split()
+            n = len(found)
+            return {"block_num": [1] * n, "par_num": [1] * n, "line_num": list(range(n)), "text": found, "conf": ["90"] * n, "left": [5] * n, "top": [20 * k for k in range(n)], "width": [30] * n, "height": [9] * n}
+
+    images = spark.createDataFrame([("a", b"THENCE NORTH"), ("b", b"broken"), ("c", b"")], "image string, content binary")
+    got = {r.image: (r.status, r.text) for r in ocr.image_texts(images, FakeProgram).collect()}
+    assert got == {"a": ("OK", "THENCE NORTH"), "b": ("OCR_FAILED: no image", None), "c": ("OK", "")}
+    words = ocr.image_words(images, FakeProgram)
+    assert {r.status for r in words.where("image = 'b'").collect()} == {"OCR_FAILED: no image"}
+    lines = tables.words_to_lines(words)
+    assert [(r.text, r.confidence, r.x, r.y, r.width, r.height) for r in lines.orderBy("line_no").collect()] == [("THENCE", 90.0, 5, 0, 30, 9), ("NORTH", 90.0, 5, 20, 30, 9)]
+
+    def none(name):
+        raise ImportError(name)
+
+    class Binding:
+        class pytesseract:  # noqa: N801
+            tesseract_cmd = ""
+
+    for load, resolve, status in ((none, lambda: "x", "OCR_LIBRARY_MISSING"), (lambda name: Binding, lambda: None, "OCR_NOT_AVAILABLE")):
+        found = ocr.image_texts(images, lambda load=load, resolve=resolve: ocr.Program(load, resolve)).collect()
+        assert {(r.status, r.text) for r in found} == {(status, None)}
