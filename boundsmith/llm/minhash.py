@@ -43,6 +43,8 @@ BANDS, ROWS = 30, 5
 #: Random orders of a bucket's members in each round of centres.
 CENTRES = (1, 3)
 BASE, RATE, LEVELS = 1.02, 20.0, 2047
+#: A class in more than one of so many pairs is dealt over several tasks.
+HOT_SHARES = 1000
 #: A pair is discarded if its registers are e**-DOUBT times as likely at the threshold as at their best.
 DOUBT = 16.0
 
@@ -230,13 +232,27 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return mapped(known, likely, "a long, b long")
 
 
+def _with_text(rows: DataFrame, pairs: DataFrame, texts: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """``rows`` with the text ``t_<key>`` of the class ``key``.
+
+    A class in more than one of ``HOT_SHARES`` of all ``pairs``, a centre of many, is dealt
+    over parts by the other class, and its text is repeated for each.  There are
+    at most ``HOT_SHARES`` such classes, and twice as many parts.
+    """
+    many = pairs.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("c")).where((F.col("c") * HOT_SHARES > total) & (F.col("c") > 1))
+    hot = F.broadcast(many.select("k", F.ceil(F.col("c") * HOT_SHARES / total).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(hot, F.col(key) == F.col("k"), "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("k", "parts")
+    held = texts.join(hot, F.col("nid") == F.col("k"), "left").select(F.col("nid").alias(key), F.col("t").alias(f"t_{key}"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(held, [key, "part"]).drop("part")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, list[str]]:
     """Those of ``pairs (a, b)`` that are similar on their full sets, and written stages to discard."""
     hopeful, p_hopeful = written(pairs, "near-pairs")
     needed = hopeful.select(F.col("a").alias("nid")).union(hopeful.select("b")).distinct()
-    # Written, so that both joins below are plain shuffled ones, whose hot centres adaptive execution splits.
-    own, p_own = written(texts.join(needed, "nid", "left_semi"), "near-own")
-    both = hopeful.join(own.toDF("b", "t_b"), "b").join(own.toDF("a", "t_a"), "a").select("a", "b", "t_a", "t_b")
+    own, total = texts.join(needed, "nid", "left_semi"), hopeful.count()
+    both = _with_text(_with_text(hopeful, hopeful, own, "b", "a", total), hopeful, own, "a", "b", total).select("a", "b", "t_a", "t_b")
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
@@ -249,7 +265,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> t
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links, p_links = written(mapped(both, decided, "a long, b long"), "near-links")
-    discard(links.sparkSession, p_own)
     return links, [p_hopeful, p_links]
 
 
