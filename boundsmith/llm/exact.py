@@ -46,36 +46,33 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, hash_of: Callable[[Colum
 
 
 def _groups(keyed: DataFrame) -> DataFrame:
-    """``hash, sha, rows, best`` for each distinct normalised text.
+    """``hash, sha, rows, id`` for each distinct normalised text; ``id`` is that of the row that stays.
 
     The partial aggregate runs before the shuffle, so a group of copies sends a
     row for each task however large it is.
     """
     best = F.min(F.struct((-F.col("len")).alias("neg"), F.col("row_id").isNull().alias("no_id"), F.col("row_id").alias("id")))
     by_bytes = keyed.groupBy("hash", "norm").agg(F.count(F.lit(1)).alias("rows"), best.alias("best"))
-    named = by_bytes.select("hash", F.sha2("norm", 256).alias("sha"), "rows", "best.neg", "best.id")
-    once = named.groupBy("hash", "sha").agg(F.count(F.lit(1)).alias("texts"), F.first("rows").alias("rows"), F.first("neg").alias("neg"), F.first("id").alias("id"))
+    named = by_bytes.select("hash", F.sha2("norm", 256).alias("sha"), "rows", "best.id")
+    once = named.groupBy("hash", "sha").agg(F.count(F.lit(1)).alias("texts"), F.first("rows").alias("rows"), F.first("id").alias("id"))
     both = F.lit("two texts share MD5 and SHA-256")
-    return once.select("hash", "sha", F.when(F.col("texts") > 1, F.raise_error(both).cast("long")).otherwise(F.col("rows")).alias("rows"), "neg", "id")
+    return once.select("hash", "sha", F.when(F.col("texts") > 1, F.raise_error(both).cast("long")).otherwise(F.col("rows")).alias("rows"), "id")
 
 
-def _met(rows: DataFrame, repeated: DataFrame, total: int, keys: tuple[str, str]) -> DataFrame:
-    """``rows`` with their group ``g_`` (null for a text of its own) by the columns ``keys``, hash and SHA-256.
+def _met(rows: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """``rows`` with ``rows`` and ``keep`` of their group, null for a text of its own, by ``hash`` and ``text_sha256``.
 
     Groups with at least a ``1 / HOT_GROUPS`` share of the rows, so ``HOT_GROUPS`` of
     them at most, are broadcast.  Their rows then take part in the shuffled join under
     the number of their partition, which meets nothing, so that no key is hot.
     """
-    hash_key, sha_key = keys
-    named = repeated.select("hash", "sha", "rows", "neg", "id")
-    hot = named.where(F.col("rows") * HOT_GROUPS >= total).toDF("h_hash", "h_sha", "h_rows", "h_neg", "h_id")
-    cold = named.where(F.col("rows") * HOT_GROUPS < total).toDF("c_hash", "c_sha", "c_rows", "c_neg", "c_id")
-    dealt = rows.join(F.broadcast(hot), (F.col(hash_key) == F.col("h_hash")) & (F.col(sha_key) == F.col("h_sha")), "left").withColumn(
-        "g_key", F.when(F.col("h_hash").isNull(), F.col(hash_key)).otherwise(F.concat(F.lit("hot "), F.spark_partition_id().cast("string")))
+    hot = repeated.where(F.col("rows") * HOT_GROUPS >= total).select(F.col("hash").alias("h_hash"), F.col("sha").alias("h_sha"), F.struct("rows", "id").alias("h"))
+    cold = repeated.where(F.col("rows") * HOT_GROUPS < total).select(F.col("hash").alias("c_hash"), F.col("sha").alias("c_sha"), F.struct("rows", "id").alias("c"))
+    dealt = rows.join(F.broadcast(hot), (F.col("hash") == F.col("h_hash")) & (F.col("text_sha256") == F.col("h_sha")), "left").withColumn(
+        "key", F.when(F.col("h").isNull(), F.col("hash")).otherwise(F.concat(F.lit("hot "), F.spark_partition_id().cast("string")))
     )
-    met = dealt.join(cold, (F.col("g_key") == F.col("c_hash")) & (F.col(sha_key) == F.col("c_sha")), "left")
-    own = [c for c in rows.columns if c not in keys]
-    return met.select(*own, sha_key, *[F.coalesce(f"h_{c}", f"c_{c}").alias(f"g_{c}") for c in ("hash", "rows", "neg", "id")])
+    met = dealt.join(cold, (F.col("key") == F.col("c_hash")) & (F.col("text_sha256") == F.col("c_sha")), "left")
+    return met.select("row_id", "text_sha256", F.coalesce("h", "c").alias("group"))
 
 
 def exact_groups(
@@ -89,11 +86,10 @@ def exact_groups(
     keyed = _keyed(docs, id_col, text_col, hash_of)
     repeated, _ = written(_groups(keyed).where("rows > 1"), "exact-groups")
     rows = keyed.select("row_id", "hash", F.sha2("norm", 256).alias("text_sha256"))
-    found = _met(rows, repeated, docs.count(), ("hash", "text_sha256"))
-    alone = F.col("g_hash").isNull()
-    keep_id = F.when(alone, F.col("row_id")).otherwise(F.col("g_id"))
+    found = _met(rows, repeated, docs.count())
+    keep_id = F.when(F.col("group").isNull(), F.col("row_id")).otherwise(F.col("group.id"))
     return found.select(
-        F.col("row_id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("g_rows", F.lit(1)).cast("long").alias("group_size"),
+        F.col("row_id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("group.rows", F.lit(1)).cast("long").alias("group_size"),
         F.col("row_id").eqNullSafe(keep_id).alias("kept"), "text_sha256",
     )
 
@@ -103,18 +99,12 @@ def drop_exact_copies(
 ) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns unchanged.
 
-    Only repeated texts are grouped again; all other rows stay as they are.
+    One aggregate by hash and bytes, so a group of copies sends a row for each task.
+    Of rows with the same id and length the one with the smallest hash of its text stays.
     """
-    repeated, _ = written(_groups(_keyed(docs, id_col, text_col, hash_of)).where("rows > 1"), "exact-groups")
     # The row travels as one struct, so its columns may have any names.
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.length(text).alias("len"),
-        hash_of(normalised(text)).alias("hash"), F.sha2(normalised(text), 256).alias("sha"),
-    )
-    met = _met(rows, repeated, docs.count(), ("hash", "sha"))
-    first = F.col("row_id").eqNullSafe(F.col("g_id")) & (F.col("len") == -F.col("g_neg"))
-    single = met.where(F.col("g_hash").isNull()).select("row.*")
-    # Rows that share the id and the length of the one that stays.
-    one = met.where(F.col("g_hash").isNotNull() & first).groupBy("g_hash", "sha").agg(F.first("row").alias("row")).select("row.*")
-    return single.union(one)
+    norm = normalised(text)
+    order = F.struct(-F.length(text), F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order.alias("rank"), hash_of(norm).alias("hash"), norm.alias("norm"))
+    return rows.groupBy("hash", "norm").agg(F.min_by("row", "rank").alias("row")).select("row.*")
