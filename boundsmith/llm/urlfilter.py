@@ -6,12 +6,14 @@ the url's path starts with the rule's, and the longest fitting rule decides.
 Urls that no rule fits are scored.  Host labels and path parts are cut at marks
 and digits, and concatenated names are segmented into words by a unigram Viterbi
 search over the corpus's own word counts.  A multinomial naive Bayes model over
-host and path tokens then compares the classes.  Its examples to block are the
-urls that a rule blocks and those without a rule whose segmented host holds a word
-of ``seed_words``; all other urls, most of which are harmless, stand for allow.
+host and path tokens then compares the classes.  There are no labelled urls, so examples
+are weak ones: urls that no rule decides and whose segmented host holds a word of
+``seed_words`` stand for block, the others, most of which are harmless, for allow.  So
+the model learns which other words of hosts and paths go with those hosts.  Urls that a
+rule decides teach nothing: rules tell parts of sites apart, not kinds of sites.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits
-no rule and is allowed, as is any url without known tokens; urls that repeat are
+no rule and is allowed, as is any url without tokens; urls that repeat are
 judged alike; columns of other names don't matter; without examples everything
 that no rule fits is allowed; an empty table gives an empty result.
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundsmith.llm.common import written
+from boundsmith.llm.common import mapped, written
 
 #: What makes up at least this share of all names or tokens is looked up in a broadcast table.
 HOT_SHARE = 1e-4
@@ -140,7 +142,7 @@ class Bayes:
         return math.log((b + 1) / self.block) - math.log((a + 1) / self.allow)
 
     def score(self, found: list[str], counts: Mapping[str, tuple[int, int]]) -> float:
-        return self.prior + sum(self.weight(*counts[t]) for t in found) if found else -1.0
+        return self.prior + sum(self.weight(*counts.get(t, (0, 0))) for t in found) if found else -1.0
 
 
 def _salts(size: int) -> int:
@@ -161,7 +163,7 @@ def _segmented(parts: DataFrame, seed_words: tuple[str, ...]) -> tuple[DataFrame
                 got.update(paths)
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["w", "n"])
 
-    per, _ = written(parts.select("host", "path").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "url-words")
+    per, _ = written(mapped(parts.select("host", "path"), count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "url-words")
     top = per.agg(F.max("n")).first()[0] or 1
     met = {r.w: r.n for r in per.where(F.col("w").isin(*seed_words)).collect()}
     seeds = spark.createDataFrame([(w, max(met.get(w, 0), top // 10, 1)) for w in seed_words], "w string, n long")
@@ -200,9 +202,9 @@ def _segmented(parts: DataFrame, seed_words: tuple[str, ...]) -> tuple[DataFrame
     size = F.length("w")
     salts = F.when(size <= 2, _salts(2)).when(size <= 4, _salts(4)).otherwise(_salts(5))
     dealt = words.select("w", "n", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    inside = per.select("w").mapInArrow(pieces, "name string, w string, salt int").join(dealt, ["w", "salt"])
+    inside = mapped(per.select("w"), pieces, "name string, w string, salt int").join(dealt, ["w", "salt"])
     held = inside.groupBy("name").agg(F.collect_list(F.struct("w", "n")).alias("found"))
-    return written(held.mapInArrow(cut, "name string, n long, words array<string>"), "url-names")[0], total
+    return written(mapped(held, cut, "name string, n long, words array<string>"), "url-names")[0], total
 
 
 def _met(rows: DataFrame, asked: DataFrame, table: DataFrame) -> DataFrame:
@@ -241,16 +243,15 @@ def judged(pages: DataFrame, rules: tuple = RULES, seed_words: tuple[str, ...] =
             for h, p, v, found in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "by_rule", "found")), strict=True):
                 rare = {f["key"]: f["value"] for f in found or ()}
                 every.append(tokens(h, p, lambda n: common.value.get(n) or rare[n]))
-                seed = any(t[2:] in seeds for t in every[-1] if t[0] == "h")
-                block.append(int(seed if v is None else v == "block"))
+                block.append(int(any(t[2:] in seeds for t in every[-1] if t[0] == "h")) if v is None else None)
             kept = [batch.column(c) for c in ("rid", "i", "host", "path", "rule", "by_rule")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(every, pa.list_(pa.string())), pa.array(block, pa.int32())], names=["rid", "i", "host", "path", "rule", "by_rule", "t", "b"])
 
     kind = rows.schema["i"].dataType.simpleString()
     shape = f"rid long, i {kind}, host string, path string, rule string, by_rule string"
-    asked = rows.select("rid", "host", "path").mapInArrow(rare_names, "rid long, key string")
+    asked = mapped(rows.select("rid", "host", "path"), rare_names, "rid long, key string")
     met = _met(rows, asked, names.select(F.col("name").alias("key"), F.col("words").alias("value")))
-    rows, _ = written(met.mapInArrow(cut, f"{shape}, t array<string>, b int"), "url-tokens")
+    rows, _ = written(mapped(met, cut, f"{shape}, t array<string>, b int"), "url-tokens")
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +263,7 @@ def judged(pages: DataFrame, rules: tuple = RULES, seed_words: tuple[str, ...] =
                 [pa.array([t for t, _ in got], pa.string()), pa.array([b for _, b in got], pa.int32()), pa.array(list(got.values()), pa.int64())], names=["t", "b", "n"]
             )
 
-    per = rows.select("t", "b").mapInArrow(examples, "t string, b int, n long").groupBy("t").agg(
+    per = mapped(rows.where("b is not null").select("t", "b"), examples, "t string, b int, n long").groupBy("t").agg(
         F.sum(F.when(F.col("b") == 1, F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("b") == 0, F.col("n")).otherwise(0)).alias("allow")
     )
     counts, _ = written(per, "url-counts")
@@ -293,8 +294,8 @@ def judged(pages: DataFrame, rules: tuple = RULES, seed_words: tuple[str, ...] =
                 kept = [batch.column(c) for c in ("rid", "i", "host", "path", "rule", "by_rule")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=["rid", "i", "host", "path", "rule", "by_rule", "score"])
 
-        asked = rows.select("rid", "t").mapInArrow(rare_tokens, "rid long, key string")
+        asked = mapped(rows.select("rid", "t"), rare_tokens, "rid long, key string")
         met = _met(rows, asked, counts.select(F.col("t").alias("key"), F.struct("block", "allow").alias("value")))
-        scored = met.mapInArrow(run, f"{shape}, score double")
+        scored = mapped(met, run, f"{shape}, score double")
     verdict = F.coalesce("by_rule", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.select(F.col("i").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
