@@ -3,14 +3,24 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before
 kept.  All but the last return the columns of ``documents``; the last returns a
 row for each piece of a packed sequence.
+
+Defined cases: a null or empty text is scored, is one group of exact copies and has
+no shingles, words or tokens but the end id; rows without id or with a shared one are
+decided by their own text; rows that repeat are exact copies; columns beside those of
+``documents`` are carried along, whatever their names; an empty table gives an empty
+result.
+
+Scale: documents are scanned, not shuffled, but for the groups of copies, whose keys
+are pre-aggregated; each stage is written as Parquet in the shared folder, so a
+lost executor costs its tasks only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boundsmith.llm.common import table, written
-from boundsmith.llm.decontam import contamination
+from boundsmith.llm.common import discard, stages_of_a_block, table, written
+from boundsmith.llm.decontam import drop_contaminated
 from boundsmith.llm.exact import drop_exact_copies
 from boundsmith.llm.minhash import drop_near_copies
 from boundsmith.llm.packing import pack
@@ -35,7 +45,7 @@ def keep_dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return contamination(docs, table(spark, sf_dir, "benchmark"), keep=True)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs, _ = written(docs, f"stage-{k}")
-    return docs
+    """All stages; what a stage wrote on its way goes once its rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with stages_of_a_block() as paths:
+            docs, path = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        discard(spark, *before, *(p for p in paths if p != path))
+        before = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)
