@@ -347,7 +347,7 @@ def effective_distance(spark, sf_dir):
     "SELECT doc_id, 'closure_bracket' AS method, round(az, 4) + 0.0 AS azimuth, round(sqrt(tx * tx + ty * ty), 2) + 0.0 AS distance, round(abs(fmod(az - 270 + 540, 360) - 180), 1) + 0.0 AS residual FROM y2 WHERE sqrt(tx * tx + ty * ty) >= 1e-6"
 )
 def closure_bracket(spark, sf_dir):
-    classified = K.classify(synth.bracket_deeds(spark, sf_dir))
+    classified = K.classify(synth.bracket_deeds(spark, sf_dir)).repartition("doc_id")  # read twice
     out = resolve.closure_bracket(K.boundary_calls(classified), K.ignored(classified))
     return out.select("doc_id", "method", r("azimuth"), r("distance", 2), r("residual", 1, B.angular_diff(F.col("azimuth"), F.lit(270.0))))
 
