@@ -38,17 +38,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, compressed: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and lets every later read see the
-    same rows.  Returns the DataFrame and the path, for :func:`discard`.
+    same rows.  Returns the DataFrame and the path, for :func:`discard`.  Only stages
+    that hold whole documents are worth compression, whose buffers lie outside the heap.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     for paths in _COLLECTING:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "snappy" if compressed else "none").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

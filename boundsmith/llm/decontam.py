@@ -225,7 +225,7 @@ def _found(rows: DataFrame, blocks: Iterator[Block]) -> DataFrame:
     if second is None:
         return _judged(rows, first)
     # Blocks are passes of their own, so that a worker holds one block's tables.
-    numbered, _ = written(rows.withColumn("rid", F.monotonically_increasing_id()), "bench-rows")
+    numbered, _ = written(rows.withColumn("rid", F.monotonically_increasing_id()), "bench-rows", compressed=True)
     parts = [written(_judged(numbered.select("rid", "t"), b).where(F.size("spans") > 0).drop("n_words"), "bench-hits")[0] for b in chain([first, second], blocks)]
     every = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     counted = _judged(numbered, block_of([])).select("rid", "i", "n_words")
@@ -263,5 +263,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
         held = docs.sparkSession.sparkContext.broadcast(block)
         docs, block = clean(held), next(blocks, None)
         if block is not None:
-            docs, _ = written(docs, "bench-clean")
+            docs, _ = written(docs, "bench-clean", compressed=True)
     return docs
