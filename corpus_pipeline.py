@@ -70,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES[:-1]):
         with stages_of_a_block() as paths:
-            docs, path = written(stage(spark, docs, sf_dir), f"stage-{k}")
+            docs, path = written(stage(spark, docs, sf_dir), f"stage-{k}", compressed=True)
         discard(spark, *before, *(p for p in paths if p != path))
         before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
