@@ -39,7 +39,7 @@ class Encoder:
     ``entries`` bounds the cache; ``part_bytes`` bounds the text that is split at once.
     """
 
-    def __init__(self, path: str, entries: int = 200_000, part_bytes: int = 2 << 20) -> None:
+    def __init__(self, path: str, entries: int = 600_000, part_bytes: int = 2 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
