@@ -118,12 +118,8 @@ def with_prose(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("prose", lines).drop("__t", *passes)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, line, told``: lines, ``;`` pieces and compact calls, bare of THENCE and end marks.
-
-    Where a text has courses in prose, those are its lines.  ``told`` still has what
-    stands before a bearing.
-    """
+def _texts(docs: DataFrame) -> DataFrame:
+    """The rows of :func:`chunks`; behind them, as ``whole``, the text of a document that may be a narrative."""
     text = F.regexp_replace(cleaned(F.col("source_text")), r"\r\n", "\n")
     docs = with_prose(docs.select("doc_id", text.alias("t")), "t")
 
@@ -133,11 +129,28 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     lines = F.when(F.size("prose") > 0, F.flatten(F.transform("prose", lambda x: F.split(x, ";")))).otherwise(F.split("t", LINE_BREAK))
     pieces = F.filter(F.flatten(F.transform(lines, lambda piece: cut(F.trim(piece)))), lambda x: F.trim(x) != "")
-    parts = docs.select("doc_id", F.posexplode(pieces).alias("pos", "raw"))
-    told = F.regexp_replace(F.trim("raw"), r"(?i)^thence ", "")
-    line = F.regexp_replace(F.trim(told), r"[;,.]+$", "")
-    line = F.trim(F.regexp_replace(F.regexp_replace(line, r"(?i)\bTHENCE\b", ""), r"\s+", " "))
-    return parts.select("doc_id", (F.col("pos") + 1).alias("pos"), line.alias("line"), told.alias("told")).where("line <> ''")
+    tells = F.col("t").contains("°") | F.upper("t").contains("CURVE")
+    part = lambda raw, whole: F.struct(raw.alias("raw"), F.lit(whole).alias("whole"))
+    parts = F.concat(F.transform(pieces, lambda x: part(x, False)), F.filter(F.array(part(F.col("t"), True)), lambda x: tells))
+    parts = docs.select("doc_id", F.posexplode(parts).alias("pos", "p")).select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("p.raw").alias("raw"), F.col("p.whole").alias("whole"))
+    rows = parts.withColumn("told", F.when(F.col("whole"), F.col("raw")).otherwise(F.regexp_replace(F.trim("raw"), r"(?i)^thence ", "")))
+    line = F.regexp_replace(F.trim("told"), r"[;,.]+$", "")
+    line = F.when(~F.col("whole"), F.trim(F.regexp_replace(F.regexp_replace(line, r"(?i)\bTHENCE\b", ""), r"\s+", " ")))
+    return rows.select("doc_id", "pos", line.alias("line"), "told", "whole").where("whole or line <> ''")
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, line, told``: lines, ``;`` pieces and compact calls, bare of THENCE and end marks.
+
+    Where a text has courses in prose, those are its lines.  ``told`` still has what
+    stands before a bearing.
+    """
+    return _texts(docs).where("not whole").drop("whole")
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The first ``n`` groups of the first match in one search; groups that take no part are empty."""
+    return F.split(F.regexp_replace(text, rf"^(?s:.*?){pattern}(?s:.*)\z", "\u0001".join(f"${k}" for k in range(1, n + 1))), "\u0001")
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -145,83 +158,89 @@ def parse(docs: DataFrame) -> DataFrame:
 
     Ordered cascade; an arc without radius follows the last bearing before it.  A
     document without any call gets those of its whole text read as a narrative.
+
+    Each text is cleaned once, and its narrative searched only where no call was found;
+    one shuffle by ``doc_id`` serves all windows.
     """
-    c = F.col("line")
-    az_word = B.lookup(F.upper(F.coalesce(_got(c, CARDINAL, 1), _got(c, WORDY, 1))), {k: float(v) for k, v in CARDINAL_AZIMUTH.items()})
-    quad = B.quadrant_azimuth(
-        B.lookup(F.upper(_got(c, QUADRANT, 1)), LETTER), B.lookup(F.upper(_got(c, QUADRANT, 5)), LETTER),
-        B.dms(_got(c, QUADRANT, 2), F.coalesce(_got(c, QUADRANT, 3), F.lit("0")), F.coalesce(_got(c, QUADRANT, 4), F.lit("0"))),
-    )
-    prose = B.quadrant_azimuth(
-        F.upper(F.substring(_got(F.col("told"), PROSE_QUADRANT, 1), 1, 1)), F.upper(F.substring(_got(F.col("told"), PROSE_QUADRANT, 5), 1, 1)),
-        B.dms(_got(F.col("told"), PROSE_QUADRANT, 2), F.coalesce(_got(F.col("told"), PROSE_QUADRANT, 3), F.lit("0")), F.coalesce(_got(F.col("told"), PROSE_QUADRANT, 4), F.lit("0"))),
-    )
-    delta = B.dms(_got(c, CURVE_ANGLE, 1), _got(c, CURVE_ANGLE, 2), F.coalesce(_got(c, CURVE_ANGLE, 3), F.lit("0")))
-    arc = _got(c, CURVE_ARC, 1).cast("double")
-    kind = (
-        F.when(c.rlike(CARDINAL), "cardinal").when(F.col("told").rlike(PROSE_QUADRANT), "prose").when(c.rlike(QUADRANT), "quadrant").when(c.rlike(AZIMUTH), "azimuth")
-        .when(c.rlike(CURVE), F.when(delta.isNull() & arc.isNull(), "bad_curve").otherwise("curve"))
-        .when(c.rlike(WORDY), "wordy").when(c.rlike(ARC_ONLY), "arc_only").when(c.rlike(SILENT), "silent").otherwise("unknown")
-    )
-    rows = chunks(docs).withColumn("kind", kind)
-    own = (
-        F.when(F.col("kind").isin("cardinal", "wordy"), az_word).when(F.col("kind") == "quadrant", quad).when(F.col("kind") == "prose", prose)
-        .when(F.col("kind") == "azimuth", B.dms(_got(c, AZIMUTH, 1), _got(c, AZIMUTH, 2), _got(c, AZIMUTH, 3)))
+    c, told, whole = F.col("line"), F.col("told"), F.col("whole")
+    marked, bent = c.contains("°"), F.upper(c).contains("CURVE")
+    kind = F.when(~whole, (
+        F.when(c.rlike(CARDINAL), "cardinal").when(told.contains("°") & told.rlike(PROSE_QUADRANT), "prose").when(marked & c.rlike(QUADRANT), "quadrant").when(marked & c.rlike(AZIMUTH), "azimuth")
+        .when(bent & c.rlike(CURVE), "curve").when(c.rlike(WORDY), "wordy").when(bent & c.rlike(ARC_ONLY), "arc_only").when(c.rlike(SILENT), "silent").otherwise("unknown")
+    ))
+    rows = _texts(docs).withColumn("kind", kind)
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    shapes = (("cardinal", c, CARDINAL, 2), ("prose", told, PROSE_QUADRANT, 6), ("quadrant", c, QUADRANT, 6), ("azimuth", c, AZIMUTH, 4), ("curve", c, CURVE, 2), ("wordy", c, WORDY, 2), ("arc_only", c, ARC_ONLY, 1))
+    found = reduce(lambda w, x: w.when(is_(x[0]), _groups(*x[1:])), shapes, F.when(whole, None))
+    rows = rows.withColumn("g", found).withColumn("angle", F.when(is_("curve") & c.rlike(CURVE_ANGLE), _groups(c, CURVE_ANGLE, 3)))
+    g = lambda k: F.nullif(F.get("g", F.lit(k)), F.lit(""))
+    angle = lambda k: F.nullif(F.get("angle", F.lit(k)), F.lit(""))
+    bearing = B.dms(g(1), F.coalesce(g(2), F.lit("0")), F.coalesce(g(3), F.lit("0")))
+    first = lambda k: F.upper(F.substring(g(k), 1, 1))
+    rows = rows.withColumn(
+        "own",
+        F.when(is_("cardinal", "wordy"), B.lookup(F.upper(g(0)), {k: float(v) for k, v in CARDINAL_AZIMUTH.items()})).when(is_("quadrant", "prose"), B.quadrant_azimuth(first(0), first(4), bearing))
+        .when(is_("azimuth"), B.dms(g(0), g(1), g(2))),
     )
-    rows = rows.withColumn("own", own)
+    dist = F.when(is_("cardinal", "wordy"), g(1)).when(is_("quadrant", "prose"), g(5)).when(is_("azimuth"), g(3)).when(is_("arc_only"), g(0)).cast("double")
+    radius, arc = g(1).cast("double"), _got(c, CURVE_ARC, 1).cast("double")
+    delta = F.coalesce(B.dms(angle(0), angle(1), F.coalesce(angle(2), F.lit("0"))), F.degrees(arc / radius))
+    rows = rows.withColumns({"dist": dist, "radius": F.when(is_("curve"), radius), "delta_deg": F.when(is_("curve"), delta), "handedness": F.when(is_("curve"), F.lower(g(0))), "arc": F.when(is_("curve"), arc)})
+    rows = rows.withColumn("kind", F.when(is_("curve") & F.col("angle").isNull() & F.col("arc").isNull(), "bad_curve").otherwise(F.col("kind"))).drop("g", "angle", "arc")
+    of_doc = Window.partitionBy("doc_id").orderBy("pos")
     # Short cardinals and azimuths don't set the bearing that arcs follow.
-    carried = F.last(F.when(F.col("kind").isin("quadrant", "prose", "wordy"), F.col("own")), True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.last(F.when(is_("quadrant", "prose", "wordy"), F.col("own")), True).over(of_doc.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("carried", carried)
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "arc_only") & F.col("carried").isNull(), F.when(c.rlike(SILENT), "silent").otherwise("unknown")).otherwise(F.col("kind")))
-    dist = (
-        F.when(F.col("kind") == "cardinal", _got(c, CARDINAL, 2)).when(F.col("kind") == "quadrant", _got(c, QUADRANT, 6)).when(F.col("kind") == "azimuth", _got(c, AZIMUTH, 4))
-        .when(F.col("kind") == "prose", _got(F.col("told"), PROSE_QUADRANT, 6)).when(F.col("kind") == "wordy", _got(c, WORDY, 2)).when(F.col("kind") == "arc_only", _got(c, ARC_ONLY, 1)).cast("double")
-    )
-    curve = F.col("kind") == "curve"
+    rows = rows.withColumn("kind", F.when(is_("arc_only") & F.col("carried").isNull(), F.when(c.rlike(SILENT), "silent").otherwise("unknown")).otherwise(F.col("kind")))
     error = (
-        F.when(F.col("kind") == "bad_curve", F.concat(F.lit("CURVE_INCOMPLETE: line "), "pos", F.lit(": '"), c, F.lit("'")))
-        .when(F.col("kind") == "unknown", F.concat(F.lit("UNKNOWN_ELEMENT: line "), "pos", F.lit(": '"), c, F.lit("'")))
-    )
-    found = rows.where("kind <> 'silent'").select(
-        "doc_id", "pos", "kind", F.when(error.isNull(), F.concat(F.when(curve, "C").otherwise("L"), F.col("pos"))).alias("id"),
-        F.coalesce("own", F.when(F.col("kind") == "arc_only", F.col("carried"))).alias("azimuth"), dist.alias("dist"),
-        F.when(curve, _got(c, CURVE, 2).cast("double")).alias("radius"), F.when(curve, F.coalesce(delta, F.degrees(arc / _got(c, CURVE, 2).cast("double")))).alias("delta_deg"),
-        F.when(curve, F.lower(_got(c, CURVE, 1))).alias("handedness"), error.alias("error"),
-    )
-    both = found.withColumn("told", F.lit(False)).unionByName(_narrative(docs).withColumn("told", F.lit(True)))
-    of_doc = Window.partitionBy("doc_id")
-    both = both.withColumn("called", F.max(~F.col("told") & F.col("error").isNull()).over(of_doc)).withColumn("tells", F.max("told").over(of_doc))
-    return both.where(F.when(F.col("told"), ~F.col("called")).otherwise(F.col("called") | ~F.col("tells"))).drop("told", "called", "tells")
-
-
-def _narrative(docs: DataFrame) -> DataFrame:
-    """The columns of :func:`parse` for every line, then every curve, of the whole text."""
-    m = F.col("m")
-
-    def delta(text: Column) -> Column:
-        return B.dms(_got(text, NARRATIVE_CURVE, 4), _got(text, NARRATIVE_CURVE, 5), F.coalesce(_got(text, NARRATIVE_CURVE, 6), F.lit("0")))
-
-    def arc(text: Column) -> Column:
-        return F.nullif(_got(text, NARRATIVE_CURVE, 3).cast("double"), F.lit(0.0))
-
-    text = docs.select("doc_id", F.trim(F.regexp_replace(cleaned(F.col("source_text")), r"\s+", " ")).alias("t"))
-    text = text.select("doc_id", F.regexp_extract_all("t", F.lit(NARRATIVE_LINE), F.lit(0)).alias("lines"), F.regexp_extract_all("t", F.lit(NARRATIVE_CURVE), F.lit(0)).alias("curves"))
-    az = B.quadrant_azimuth(
-        B.lookup(F.upper(_got(m, NARRATIVE_LINE, 1)), LETTER), B.lookup(F.upper(_got(m, NARRATIVE_LINE, 5)), LETTER),
-        B.dms(_got(m, NARRATIVE_LINE, 2), _got(m, NARRATIVE_LINE, 3), _got(m, NARRATIVE_LINE, 4)),
+        F.when(is_("bad_curve"), F.concat(F.lit("CURVE_INCOMPLETE: line "), "pos", F.lit(": '"), c, F.lit("'")))
+        .when(is_("unknown"), F.concat(F.lit("UNKNOWN_ELEMENT: line "), "pos", F.lit(": '"), c, F.lit("'")))
     )
+    rows = rows.withColumn("error", error).where(whole | (F.col("kind") != "silent"))
+    every = of_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("called", F.max(~whole & F.col("error").isNull()).over(every)).withColumn("story", F.when(whole & ~F.col("called"), _narrative(told)))
+    rows = rows.withColumn("tells", F.coalesce(F.max(F.size("story") > 0).over(every), F.lit(False)))
+    curve = is_("curve")
+    own = {
+        "pos": F.col("pos"), "kind": F.col("kind"), "id": F.when(F.col("error").isNull(), F.concat(F.when(curve, "C").otherwise("L"), F.col("pos"))),
+        "azimuth": F.coalesce("own", F.when(is_("arc_only"), F.col("carried"))), "dist": F.when(~is_("unknown"), F.col("dist")), "radius": F.when(curve, F.col("radius")),
+        "delta_deg": F.when(curve, F.col("delta_deg")), "handedness": F.when(curve, F.col("handedness")), "error": F.col("error"),
+    }
+    line = F.array(F.struct(*[v.alias(k) for k, v in own.items()]))
+    return rows.select("doc_id", F.explode(F.when(whole, F.col("story")).when(F.col("called") | ~F.col("tells"), line)).alias("r")).select("doc_id", "r.*")
+
+
+def _narrative(text: Column) -> Column:
+    """The columns of :func:`parse` as structs for every line, then every curve, of the whole text."""
+    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    lines, curves = F.regexp_extract_all(t, F.lit(NARRATIVE_LINE), F.lit(0)), F.regexp_extract_all(t, F.lit(NARRATIVE_CURVE), F.lit(0))
     no = {t: F.lit(None).cast(t) for t in ("double", "string")}
-    line = text.select("doc_id", F.posexplode("lines").alias("n", "m")).select(
-        "doc_id", (F.col("n") + 1).alias("pos"), F.lit("narrative").alias("kind"), F.concat(F.lit("L"), F.col("n") + 1).alias("id"), az.alias("azimuth"), _got(m, NARRATIVE_LINE, 6).cast("double").alias("dist"),
-        no["double"].alias("radius"), no["double"].alias("delta_deg"), no["string"].alias("handedness"), no["string"].alias("error"),
-    )
-    whole = F.filter("curves", lambda x: F.coalesce(delta(x), arc(x)).isNotNull())
-    radius = _got(m, NARRATIVE_CURVE, 2).cast("double")
-    curve = text.select("doc_id", F.size("lines").alias("before"), F.posexplode(whole).alias("n", "m")).select(
-        "doc_id", (F.col("before") + F.col("n") + 1).alias("pos"), F.lit("curve").alias("kind"), F.concat(F.lit("C"), F.col("n") + 1).alias("id"), no["double"].alias("azimuth"), no["double"].alias("dist"),
-        radius.alias("radius"), F.coalesce(delta(m), F.degrees(arc(m) / radius)).alias("delta_deg"), F.lower(_got(m, NARRATIVE_CURVE, 1)).alias("handedness"), no["string"].alias("error"),
-    )
-    return line.unionByName(curve)
+
+    def delta(m: Column) -> Column:
+        return B.dms(_got(m, NARRATIVE_CURVE, 4), _got(m, NARRATIVE_CURVE, 5), F.coalesce(_got(m, NARRATIVE_CURVE, 6), F.lit("0")))
+
+    def arc(m: Column) -> Column:
+        return F.nullif(_got(m, NARRATIVE_CURVE, 3).cast("double"), F.lit(0.0))
+
+    def line(m: Column, n: Column) -> Column:
+        az = B.quadrant_azimuth(
+            B.lookup(F.upper(_got(m, NARRATIVE_LINE, 1)), LETTER), B.lookup(F.upper(_got(m, NARRATIVE_LINE, 5)), LETTER),
+            B.dms(_got(m, NARRATIVE_LINE, 2), _got(m, NARRATIVE_LINE, 3), _got(m, NARRATIVE_LINE, 4)),
+        )
+        return F.struct(
+            (n + 1).alias("pos"), F.lit("narrative").alias("kind"), F.concat(F.lit("L"), n + 1).alias("id"), az.alias("azimuth"), _got(m, NARRATIVE_LINE, 6).cast("double").alias("dist"),
+            no["double"].alias("radius"), no["double"].alias("delta_deg"), no["string"].alias("handedness"), no["string"].alias("error"),
+        )
+
+    def curve(m: Column, n: Column) -> Column:
+        radius = _got(m, NARRATIVE_CURVE, 2).cast("double")
+        return F.struct(
+            (F.size(lines) + n + 1).alias("pos"), F.lit("curve").alias("kind"), F.concat(F.lit("C"), n + 1).alias("id"), no["double"].alias("azimuth"), no["double"].alias("dist"),
+            radius.alias("radius"), F.coalesce(delta(m), F.degrees(arc(m) / radius)).alias("delta_deg"), F.lower(_got(m, NARRATIVE_CURVE, 1)).alias("handedness"), no["string"].alias("error"),
+        )
+
+    whole = F.filter(curves, lambda m: F.coalesce(delta(m), arc(m)).isNotNull())
+    return F.concat(F.transform(lines, line), F.transform(whole, curve))
 
 
 def _monument(text: Column) -> Column:

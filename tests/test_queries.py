@@ -55,3 +55,9 @@ def test_touching_courses_equal_sql(spark, tmp_path, name):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     df, sql = Q.QUERIES[name](spark, str(tmp_path)), con.sql(Q.ORACLES[name])
     assert rows(df.columns, df.collect()) == rows(sql.columns, sql.fetchall())
+
+
+@pytest.mark.parametrize("name", ["legacy_compact", "legacy_prose"])
+def test_older_texts_are_read_once(spark, name):
+    plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("Aggregate [") == 1
