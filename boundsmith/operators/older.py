@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from boundsmith.functions import bearings as B
 from boundsmith.functions.courses import LETTER
-from boundsmith.functions.text import spans
+from boundsmith.functions.text import says, spans
 from boundsmith.operators.tables import CARDINAL_AZIMUTH
 
 # Look-alikes and marks that this dialect repairs.
@@ -76,8 +76,7 @@ def with_prose(docs: DataFrame, text: str) -> DataFrame:
     else follows a THENCE.  A later pass takes nothing that begins inside a course of the first.
     Each pass has a column of its own, so that no pattern is searched twice.
     """
-    upper = F.upper(text)
-    plain = F.when(upper.contains("THENCE") | upper.contains("TO A POINT"), F.trim(F.regexp_replace(text, r"\s+", " ")))
+    plain = F.when(says(F.col(text), "THENCE|TO A POINT"), F.trim(F.regexp_replace(text, r"\s+", " ")))
     passes = {"__courses": PROSE_COURSE, "__points": PROSE_POINT, "__cardinals": PROSE_CARDINAL, "__curves": PROSE_CURVE, "__others": PROSE_OTHER}
     docs = docs.withColumn("__t", plain).withColumns({name: spans(F.col("__t"), pattern) for name, pattern in passes.items()})
     t, courses, points, cardinals, curves, others = (F.col(c) for c in ("__t", *passes))
@@ -124,12 +123,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     docs = with_prose(docs.select("doc_id", text.alias("t")), "t")
 
     def cut(piece: Column) -> Column:
-        compact = piece.contains("°") & ~F.upper(piece).contains("THENCE") & ~piece.rlike(WORDS_QUADRANT)
+        compact = piece.contains("°") & ~says(piece, "THENCE") & ~piece.rlike(WORDS_QUADRANT)
         return F.when(compact, F.split(piece, COMPACT_START)).otherwise(F.array(piece))
 
     lines = F.when(F.size("prose") > 0, F.flatten(F.transform("prose", lambda x: F.split(x, ";")))).otherwise(F.split("t", LINE_BREAK))
     pieces = F.filter(F.flatten(F.transform(lines, lambda piece: cut(F.trim(piece)))), lambda x: F.trim(x) != "")
-    tells = F.col("t").contains("°") | F.upper("t").contains("CURVE")
+    tells = F.col("t").contains("°") | says(F.col("t"), "CURVE")
     part = lambda raw, whole: F.struct(raw.alias("raw"), F.lit(whole).alias("whole"))
     parts = F.concat(F.transform(pieces, lambda x: part(x, False)), F.filter(F.array(part(F.col("t"), True)), lambda x: tells))
     parts = docs.select("doc_id", F.posexplode(parts).alias("pos", "p")).select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("p.raw").alias("raw"), F.col("p.whole").alias("whole"))
@@ -163,7 +162,7 @@ def parse(docs: DataFrame) -> DataFrame:
     one shuffle by ``doc_id`` serves all windows.
     """
     c, told, whole = F.col("line"), F.col("told"), F.col("whole")
-    marked, bent = c.contains("°"), F.upper(c).contains("CURVE")
+    marked, bent = c.contains("°"), says(c, "CURVE")
     kind = F.when(~whole, (
         F.when(c.rlike(CARDINAL), "cardinal").when(told.contains("°") & told.rlike(PROSE_QUADRANT), "prose").when(marked & c.rlike(QUADRANT), "quadrant").when(marked & c.rlike(AZIMUTH), "azimuth")
         .when(bent & c.rlike(CURVE), "curve").when(c.rlike(WORDY), "wordy").when(bent & c.rlike(ARC_ONLY), "arc_only").when(c.rlike(SILENT), "silent").otherwise("unknown")
