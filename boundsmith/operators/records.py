@@ -176,12 +176,16 @@ def highlight(x: Column, y: Column, width: Column, height: Column, scale_x: Colu
 
 
 def summary(status: DataFrame, report: DataFrame, vertices: DataFrame) -> DataFrame:
-    """``doc_id, n_points, misclosure, n_intersections, n_curve_error_groups, has_errors``.
+    """:func:`summarised` of parts that come apart."""
+    points = vertices.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_points"))
+    return summarised(status.join(report.select("doc_id", "misclosure", "n_hits", "curve_errors"), "doc_id", "left").join(points, "doc_id", "left"))
+
+
+def summarised(rows: DataFrame) -> DataFrame:
+    """``doc_id, n_points, misclosure, n_intersections, n_curve_error_groups, has_errors`` from rows as of ``validate.line_report``.
 
     A document with a parse error, or a call out of range, isn't built: its numbers are null.
     """
-    points = vertices.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_points"))
-    rows = status.join(report.select("doc_id", "misclosure", "n_hits", "curve_errors"), "doc_id", "left").join(points, "doc_id", "left")
     bad = (F.col("n_errors") > 0) | (F.col("parse_status") != "OK")
     groups = F.coalesce(F.size("curve_errors"), F.lit(0))
     built = lambda c, name: F.when(~bad, c).alias(name)

@@ -4,7 +4,7 @@ import pytest
 
 from boundsmith.operators import clauses as K
 from boundsmith.operators import geometry as G
-from boundsmith.operators import validate
+from boundsmith.operators import records, validate
 from boundsmith.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -37,9 +37,11 @@ def test_line_report_is_its_parts(spark, clear):
     assert told(got.where("n_points is not null"), names) == want and want[1]["n_hits"] > 0 and want[13]["n_hits"] > 100 and want[None]["n_hits"] == 0
     errors = {r.doc_id: r.curve_errors for r in parts.where("doc_id is not null").collect()}
     assert {r.doc_id: r.curve_errors for r in got.where("n_points is not null and doc_id is not null").collect()} == errors and errors[8]
+    order = lambda df: sorted(map(str, df.where("doc_id is not null").withColumn("misclosure", Q.r("misclosure", 6)).collect()))
+    assert order(records.summarised(got)) == order(records.summary(K.document_status(classified), parts, verts))
 
 
-@pytest.mark.parametrize("name", ["report_files", "approved_rows"])
+@pytest.mark.parametrize("name", ["report_files", "run_summary", "approved_rows"])
 def test_clauses_are_made_once(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.collect()
