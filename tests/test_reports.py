@@ -46,4 +46,4 @@ def test_clauses_are_made_once(spark, name):
     df = Q.QUERIES[name](spark, SF)
     assert df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert final.count("FileScan parquet") == 1
+    assert final.count("Generate posexplode(arrays_zip(pieces") == 1
